@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import op5_block_rules_extraction
 from .language_id import op8_compression_language_id
 from .mpeg_audio import op4_mpeg_audio
 from .packing import op7_cutting_stock_packing
 from .storage import read_table
+from .toxicity import op9_crf_toxicity
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_mpeg_audio(read_table(spark, sf_dir, "documents"))
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_block_rules_extraction(read_table(spark, sf_dir, "pages"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_cutting_stock_packing(read_table(spark, sf_dir, "documents"))
 
@@ -24,11 +30,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_compression_language_id(read_table(spark, sf_dir, "documents"))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_crf_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_mpeg_audio": op4,
+        "op5_block_rules_extraction": op5,
         "op7_cutting_stock_packing": op7,
         "op8_compression_language_id": op8,
+        "op9_crf_toxicity": op9,
     }
 
 
