@@ -48,6 +48,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return out
 
 
+def crowded(members: DataFrame) -> DataFrame:
+    """The rows (bucket, id) of buckets that hold two members or more."""
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    return cut(members.join(shared, "bucket").select("bucket", "id"))
+
+
 def link_buckets(
     members: DataFrame,
     features: DataFrame,
@@ -57,16 +63,14 @@ def link_buckets(
 ) -> DataFrame:
     """Verified links (a, b) that connect exactly the ids which some verified pair of a bucket connects.
 
-    ``members`` (bucket, id) and ``features`` (id, feature columns). ``near(x, y)`` is a cheap
+    ``members`` (bucket, id; from ``crowded``) and ``features`` (id, feature columns). ``near(x, y)`` is a cheap
     condition on the features of two sides, necessary for ``verify``, which keeps the true pairs of
     (a, b). A bucket's pairs are never all listed: first each member meets one pivot of its bucket,
     which settles groups of copies in a row per member; then only members of a bucket that are
     still in different components meet one another. Pairs left out are within one component.
     """
-    spark = members.sparkSession
     columns = [c for c in features.columns if c != "id"]
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = cut(members.join(shared, "bucket").join(features, "id").withColumn("label", F.col("id")))
+    members = cut(members.join(features, "id").withColumn("label", F.col("id")))
     links = None
     for turn in range(rounds + 1):
         spread = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")

@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .html_text import op5_block_rules_extraction
 from .language_id import op8_compression_language_id
 from .mpeg_audio import op4_mpeg_audio
+from .odd_sketch import op2_odd_sketch_near_dedup
 from .packing import op7_cutting_stock_packing
 from .storage import read_table
 from .toxicity import op9_crf_toxicity
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_odd_sketch_near_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_mpeg_audio(read_table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_odd_sketch_near_dedup": op2,
         "op4_mpeg_audio": op4,
         "op5_block_rules_extraction": op5,
         "op7_cutting_stock_packing": op7,

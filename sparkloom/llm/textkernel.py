@@ -113,10 +113,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
         if hi - lo >= width:
             out.append(np.unique(rolled[lo : hi - width + 1]))
         elif hi > lo:
-            whole = np.uint64(hi - lo)
-            for h in hashes[lo:hi]:
-                whole = mix64(np.array([whole * _ODD + h], dtype=np.uint64))[0]
-            out.append(np.array([whole], dtype=np.uint64))
+            whole = np.full(1, hi - lo, dtype=np.uint64)
+            for i in range(lo, hi):
+                whole = mix64(whole * _ODD + hashes[i : i + 1])
+            out.append(whole)
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
