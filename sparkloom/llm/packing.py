@@ -21,22 +21,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import cut
+from .textkernel import CHUNK_BYTES, chunks, span_hashes, word_spans
 
 CAPACITY = 2048
 CLASS_WIDTH = 16
 END_ID = 1
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 RANK_BLOCK = 8192
 
 _PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-_TAIL = b".,;:!?"
+_CLOSING, _ALNUM = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_CLOSING[[ord(c) for c in ".,;:!?"]] = True
+#: A digit is always a pre-token, and so a token, of its own.
+_SEPARATOR = b"0"
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
 
 
 class WordEncoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Token ids of whole texts, a chunk of texts at a time.
 
-    The vocabulary's pre-tokens never cross white space, nor join a word to closing punctuation, so
-    words are encoded once and remembered; a text that may hold a special token is encoded whole.
+    The vocabulary's pre-tokens never cross white space, nor join a letter or digit to closing
+    punctuation, so distinct words are encoded once and remembered by their 64-bit hash (the table
+    starts afresh when full); a text that may hold a special token is encoded whole.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
@@ -44,42 +50,72 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.cache: dict[bytes, bytes] = {}
         self.cache_words = cache_words
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        parts = {}
-        for word in words:
-            core = word.rstrip(_TAIL)
-            parts[word] = (core, word[len(core) :]) if core and core[-1:].isalnum() else (word, b"")
-        fresh = [p for p in dict.fromkeys(p for pair in parts.values() for p in pair if p) if p not in self.cache]
-        self.cache.update(zip(fresh, self._ids([p.decode("utf-8", "replace") for p in fresh])))
-        self.cache[b""] = b""
-        for word, (core, tail) in parts.items():
-            self.cache[word] = self.cache[core] + self.cache[tail]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        cache, split, missing = self.cache, [], set()
-        for text in texts:
-            words = None if b"<|" in text else text.lower().split()
-            split.append(words)
-            if words:
-                missing.update(w for w in words if w not in cache)
-        if missing:
-            if len(cache) + len(missing) > self.cache_words:
-                missing = {w for words in split if words for w in words}
-                cache.clear()
-            self._learn(list(missing))
-        get = cache.__getitem__
-        return [
-            b"".join(map(get, words)) if words is not None else self._ids([text.decode("utf-8", "replace")])[0]
-            for words, text in zip(split, texts)
-        ]
+        self.separator = self._ids([_SEPARATOR.decode()])[0][0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, dtype=np.uint64)
+        self.begin = self.length = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype="<u4")
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        if len(self.known) + len(words) > self.cache_words:
+            self._forget()
+        apart = np.array([_SEPARATOR in w or b"<|" in w for w in words], dtype=bool)
+        lone = [w for w, alone in zip(words, apart.tolist()) if alone]
+        order = np.argsort(apart, kind="stable")
+        hashes = hashes[order]
+        joined = (b" " + _SEPARATOR + b" ").join([w for w, alone in zip(words, apart.tolist()) if not alone] + [b""])
+        ids = self._ids([joined.decode("utf-8", "replace")])[0]
+        marks = np.flatnonzero(ids == self.separator)
+        length = np.diff(marks, prepend=-1) - 1
+        rest = self._ids([w.decode("utf-8", "replace") for w in lone])
+        length = np.concatenate([length, np.array([len(x) for x in rest], dtype=np.int64)])
+        begin = len(self.flat) + np.cumsum(length) - length
+        self.flat = np.concatenate([self.flat, ids[ids != self.separator], *rest])
+        order = np.argsort(np.concatenate([self.known, hashes]), kind="stable")
+        self.known = np.concatenate([self.known, hashes])[order]
+        self.begin = np.concatenate([self.begin, begin])[order]
+        self.length = np.concatenate([self.length, length])[order]
+
+    def _lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
+        return at, self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), dtype=bool)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of each text of a chunk."""
+        starts, ends, rows = word_spans(data, offsets)
+        last = np.maximum.accumulate(np.where(_CLOSING[data], -1, np.arange(len(data)))) if len(data) else np.zeros(0, dtype=np.int64)
+        core = last[ends - 1] + 1
+        split = np.flatnonzero((core < ends) & (core > starts))
+        split = split[_ALNUM[data[core[split] - 1]]]
+        at = np.concatenate([starts, core[split]])
+        order = np.argsort(at, kind="stable")
+        to = np.concatenate([ends, ends[split]])
+        to[split] = core[split]
+        starts, ends, rows = at[order], to[order], np.concatenate([rows, rows[split]])[order]
+        hashes, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        _, have = self._lookup(hashes)
+        if not have.all():
+            if len(self.known) + len(hashes) > self.cache_words:
+                have[:] = False
+                self._forget()
+            lack = np.flatnonzero(~have)
+            self._learn(hashes[lack], [data[s:e].tobytes() for s, e in zip(starts[first[lack]].tolist(), ends[first[lack]].tolist())])
+        at, _ = self._lookup(hashes)
+        begin, length = (self.begin[at][back], self.length[at][back]) if len(hashes) else (np.zeros(0, dtype=np.int64),) * 2
+        total = np.concatenate([[0], np.cumsum(length)])
+        tokens = self.flat[np.repeat(begin - total[:-1], length) + np.arange(total[-1])]
+        bounds = total[np.searchsorted(rows, np.arange(len(offsets)))]
+        raw = data.tobytes()
+        special = b"<|" in raw
+        for i in range(len(offsets) - 1):
+            text = raw[offsets[i] : offsets[i + 1]] if special else b""
+            yield self._ids([text.decode("utf-8", "replace")])[0] if b"<|" in text else tokens[bounds[i] : bounds[i + 1]]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -90,19 +126,17 @@ def tokenised_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer_path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        end = np.array([END_ID], dtype="<u4")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
-                ids = part.column(0).to_pylist()
-                texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
+            ids = batch.column(0).to_pylist()
+            for lo, data, offsets in chunks(batch.column(1), 2 * CHUNK_BYTES):
                 rows = []
-                for i, tokens in zip(ids, encoder.encode(texts)):
-                    tokens += end
-                    n = len(tokens) // 4
+                for i, tokens in enumerate(encoder.encode(data, offsets), lo):
+                    whole = np.append(tokens, end).astype("<u4", copy=False).tobytes()
+                    n = len(whole) // 4
                     for at in range(0, n, capacity):
-                        piece = tokens[4 * at : 4 * (at + capacity)]
-                        rows.append((i, at, len(piece) // 4, zlib.crc32(piece), n))
+                        piece = whole[4 * at : 4 * (at + capacity)]
+                        rows.append((ids[i], at, len(piece) // 4, zlib.crc32(piece), n))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
