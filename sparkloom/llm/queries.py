@@ -11,6 +11,7 @@ from .language_id import op8_compression_language_id
 from .mpeg_audio import op4_mpeg_audio
 from .odd_sketch import op2_odd_sketch_near_dedup
 from .packing import op7_cutting_stock_packing
+from .pivotal_mix import op6_pivotal_mixing
 from .storage import read_table
 from .toxicity import op9_crf_toxicity
 
@@ -27,6 +28,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_block_rules_extraction(read_table(spark, sf_dir, "pages"))
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_pivotal_mixing(read_table(spark, sf_dir, "documents"))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_cutting_stock_packing(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_odd_sketch_near_dedup": op2,
         "op4_mpeg_audio": op4,
         "op5_block_rules_extraction": op5,
+        "op6_pivotal_mixing": op6,
         "op7_cutting_stock_packing": op7,
         "op8_compression_language_id": op8,
         "op9_crf_toxicity": op9,
