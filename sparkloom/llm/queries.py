@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .cap_filters import op3_cap_filter_near_dedup
 from .html_text import op5_block_rules_extraction
 from .language_id import op8_compression_language_id
 from .mpeg_audio import op4_mpeg_audio
@@ -20,6 +21,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_odd_sketch_near_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_cap_filter_near_dedup(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_mpeg_audio(read_table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_odd_sketch_near_dedup": op2,
+        "op3_cap_filter_near_dedup": op3,
         "op4_mpeg_audio": op4,
         "op5_block_rules_extraction": op5,
         "op6_pivotal_mixing": op6,
