@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .cap_filters import op3_cap_filter_near_dedup
 from .html_text import op5_block_rules_extraction
 from .language_id import op8_compression_language_id
+from .line_dedup import op1_simhash_line_dedup
 from .mpeg_audio import op4_mpeg_audio
 from .odd_sketch import op2_odd_sketch_near_dedup
 from .packing import op7_cutting_stock_packing
@@ -17,6 +18,10 @@ from .storage import read_table
 from .toxicity import op9_crf_toxicity
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_simhash_line_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_odd_sketch_near_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash_line_dedup": op1,
         "op2_odd_sketch_near_dedup": op2,
         "op3_cap_filter_near_dedup": op3,
         "op4_mpeg_audio": op4,
