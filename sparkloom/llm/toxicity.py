@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import fold
@@ -202,18 +202,18 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, key: Column, bound: int = TRAIN_DOCS) -> tuple[list[str], list[int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[list[str], list[int]]:
     """About ``bound`` labelled texts of either kind, drawn by a hash of the id; a bounded sample."""
-    marked = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(fold("doc_id", 3) != 1).join(marked, "doc_id")
-    counts = {r["toxic"]: r["count"] for r in marked.where(fold("doc_id", 3) != 1).groupBy("toxic").count().collect()}  # two rows
-    u = F.pmod(F.xxhash64(key, F.lit("toxic")), F.lit(1 << 40)) / float(1 << 40)
+    marked = labels.where("toxic is not null").where(fold("doc_id", 3) != 1).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}  # two rows
+    u = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 40)) / float(1 << 40)
     share = F.coalesce(*[F.when(F.col("toxic") == kind, F.lit(min(1.0, bound / n))) for kind, n in counts.items()], F.lit(0.0))
-    drawn = rows.where(u < share).orderBy("doc_id").select("text", "toxic")
+    drawn = F.broadcast(marked.where(u < share))  # about 2 * bound ids at most
+    drawn = docs.select("doc_id", "text").join(drawn, "doc_id").dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").select("text", "toxic")
     texts, toxic = [], []
     for r in drawn.toLocalIterator():
         texts.append(r["text"] or "")
-        toxic.append(int(r["toxic"] > 0))
+        toxic.append(r["toxic"])
     return texts, toxic
 
 
@@ -248,7 +248,7 @@ def score_documents(df: DataFrame, id_col: str, text_col: str, model: ToxicityMo
 
 
 def fit_from_tables(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
-    return fit(*training_rows(documents, labels, F.col("doc_id")))
+    return fit(*training_rows(documents, labels))
 
 
 def op9_crf_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
