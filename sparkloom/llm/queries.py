@@ -14,6 +14,7 @@ from .mpeg_audio import op4_mpeg_audio
 from .odd_sketch import op2_odd_sketch_near_dedup
 from .packing import op7_cutting_stock_packing
 from .pivotal_mix import op6_pivotal_mixing
+from .secret_scan import op10_forest_secret_scan
 from .storage import read_table
 from .toxicity import op9_crf_toxicity
 
@@ -54,6 +55,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_crf_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_forest_secret_scan(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_line_dedup": op1,
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_cutting_stock_packing": op7,
         "op8_compression_language_id": op8,
         "op9_crf_toxicity": op9,
+        "op10_forest_secret_scan": op10,
     }
 
 
