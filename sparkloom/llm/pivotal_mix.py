@@ -138,6 +138,25 @@ def mix_sources(
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
+def take_copies(df: DataFrame, id_col: str, text_col: str, source_col: str, **mix: object) -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it; all columns stay.
+
+    Copies are counted without the texts and joined to them by id; where ids repeat, by id and the
+    row's place among the rows of its id.
+    """
+    columns = df.columns
+    mixed = cut(mix_sources(df, id_col, text_col, source_col, **mix).select(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies"))
+    rows = df.withColumn("__place", F.lit(1))
+    mixed = mixed.withColumn("__place", F.lit(1))
+    if mixed.groupBy("__id").count().where("count > 1").limit(1).count():
+        own = Window.partitionBy(id_col).orderBy(F.col(source_col), word_count(F.col(text_col).cast("string")), F.xxhash64(text_col))
+        rows = df.withColumn("__place", F.row_number().over(own))
+        mixed = mixed.withColumn("__place", F.row_number().over(Window.partitionBy("__id").orderBy("__source", "__size", "copies")))
+    taken = mixed.where("copies > 0").select("__id", F.col("__place").alias("__at"), F.col("copies").cast("int").alias("__copies"))
+    joined = rows.join(taken, rows[id_col].eqNullSafe(taken["__id"]) & (F.col("__place") == F.col("__at")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+
+
 def op6_pivotal_mixing(documents: DataFrame) -> DataFrame:
     """All ``documents`` mixed to weights 3, 1, 2 over 150 % of their words; one row per row."""
     return mix_sources(documents, "doc_id", "text", "source").select("doc_id", "size", "source_size", "target", "taken", "copies")

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .language_id import fold
 from .textkernel import chunks, mix64, span_hashes, word_spans
@@ -217,18 +218,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -
     return texts, toxic
 
 
-_DDL = "id long, score double, spans array<struct<start:int,end:int,p:double>>"
-
-
-def score_documents(df: DataFrame, id_col: str, text_col: str, model: ToxicityModel) -> DataFrame:
-    """(id, score, spans) of every row; spans are code-point offsets of neighbouring toxic words."""
+def score_documents(df: DataFrame, text_col: str, model: ToxicityModel, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns of every row, with __score and __spans: code-point offsets of neighbouring toxic words."""
     holder = df.sparkSession.sparkContext.broadcast(model)  # 2 MB of weights, whatever the corpus
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = holder.value
         for batch in batches:
-            for lo, data, offsets in chunks(batch.column(1)):
+            for lo, data, offsets in chunks(batch.column(len(keep))):
                 starts, ends, rows, first, features = token_features(data, offsets)
                 p = field.marginals(first, features)
                 n = len(offsets) - 1
@@ -241,10 +239,13 @@ def score_documents(df: DataFrame, id_col: str, text_col: str, model: ToxicityMo
                 for group in joined:
                     r = rows[group[0]]
                     spans[r].append({"start": int(point[starts[group[0]]] - 1 - base[r]), "end": int(point[ends[group[-1]] - 1] - base[r]), "p": float(p[group].max())})
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array(scores), pa.array(spans, pa.list_(span))], names=["id", "score", "spans"])
+                kept = [c.slice(lo, n) for c in batch.columns[: len(keep)]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), pa.array(spans, pa.list_(span))], names=[*keep, "__score", "__spans"])
 
-    source = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, _DDL).withColumnRenamed("id", id_col)
+    source = df.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("__score", T.DoubleType())])
+    struct = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])
+    return source.mapInArrow(run, schema.add("__spans", T.ArrayType(struct)))
 
 
 def fit_from_tables(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -256,6 +257,6 @@ def op9_crf_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     ``held_out`` is false where the id is null. Documents that repeat an id are scored row by row.
     """
-    scored = score_documents(documents, "doc_id", "text", fit_from_tables(documents, labels))
+    scored = score_documents(documents, "text", fit_from_tables(documents, labels), keep=["doc_id"])
     held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
+    return scored.select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"), F.col("__spans").alias("spans"))
