@@ -1,11 +1,23 @@
-"""Named query plans and the SQL they are held against."""
+"""Named query plans, and the SQL that each is held against.
+
+A plan module has ``QUERIES`` (name to a function of session and folder) and ``SQL`` (name to a
+statement over the same tables; left out where SQL can't express the plan).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import corpus, retrieval
+
+_MODULES = (corpus, retrieval)
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: plan for module in _MODULES for name, plan in module.QUERIES.items()}
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for module in _MODULES for name, sql in module.SQL.items()}
