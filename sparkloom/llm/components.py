@@ -48,26 +48,24 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return out
 
 
-def crowded(members: DataFrame) -> DataFrame:
-    """The rows (bucket, id) of buckets that hold two members or more."""
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    return cut(members.join(shared, "bucket").select("bucket", "id"))
-
-
 def link_buckets(
     members: DataFrame,
     features: DataFrame,
     near: Callable[[str, str], Column],
     verify: Callable[[DataFrame], DataFrame],
     rounds: int = 2,
+    narrow: Callable[[DataFrame], DataFrame] | None = None,
+    last: Callable[[str, str], Column] | None = None,
 ) -> DataFrame:
     """Verified links (a, b) that connect exactly the ids which some verified pair of a bucket connects.
 
-    ``members`` (bucket, id; from ``crowded``) and ``features`` (id, feature columns). ``near(x, y)`` is a cheap
+    ``members`` (bucket, id; buckets of two or more) and ``features`` (id, feature columns). ``near(x, y)`` is a cheap
     condition on the features of two sides, necessary for ``verify``, which keeps the true pairs of
     (a, b). A bucket's pairs are never all listed: first each member meets one pivot of its bucket,
     which settles groups of copies in a row per member; then only members of a bucket that are
     still in different components meet one another. Pairs left out are within one component.
+    ``narrow`` may give the members of those last buckets more features (id and others); ``last``
+    then stands for ``near``.
     """
     columns = [c for c in features.columns if c != "id"]
     members = cut(members.join(features, "id").withColumn("label", F.col("id")))
@@ -85,8 +83,11 @@ def link_buckets(
             pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & near("x", "y"))
         else:
             rest = members.join(spread.select("bucket"), "bucket")
+            if narrow:
+                rest = cut(rest)
+                rest = rest.join(narrow(rest.select("id").distinct()), "id")
             x, y = rest.alias("x"), rest.alias("y")
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & near("x", "y"))
+            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & (last or near)("x", "y"))
         pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         found = cut(verify(pairs).select("a", "b"))
         links = found if links is None else links.unionByName(found)

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components, crowded, link_buckets
+from .buckets import crowded
+from .components import connected_components, link_buckets
 from .storage import cut
 from .textkernel import chunks, mix64, shingle_sets
 
@@ -31,6 +32,8 @@ SAMPLES = 128
 #: A pair at similarity 0.85 misses every band with probability below 1e-5, one at 0.8 below 3e-4.
 BANDS, BAND_ROWS = 20, 5
 SKETCH_BITS = 512
+#: Bits of the parity bitmap of a whole set.
+PARITY_BITS = 2048
 #: Standard deviations of the estimate that the sketch filter leaves below the threshold.
 SLACK = 5.0
 
@@ -95,6 +98,16 @@ def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.add.reduceat(mix64(values), begins).view(np.int64), np.add.reduceat(other, begins).view(np.int64)
 
 
+def parity_bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, PARITY_BITS / 64) words: every element flips one bit, so an XOR counts differing elements from below."""
+    n = len(sets)
+    if not n:
+        return np.zeros((0, PARITY_BITS // 64), dtype=np.int64)
+    at = (np.concatenate(sets) % np.uint64(PARITY_BITS)).astype(np.int64) + np.repeat(np.arange(n) * PARITY_BITS, [len(s) for s in sets])
+    flips = np.bincount(at, minlength=n * PARITY_BITS)
+    return np.packbits((flips & 1).astype(np.uint8).reshape(n, PARITY_BITS), axis=1).view(np.int64)
+
+
 _SIGNATURE = "id long, n_shingles long, set_hi long, set_lo long, bands array<long>, sketch array<long>"
 
 
@@ -129,8 +142,11 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 
 def full_sets(df: DataFrame, width: int) -> DataFrame:
-    """(id, set_hi, set_lo, items) of (id, text) rows: fingerprint and distinct shingle hashes; empty sets are left out."""
-    ddl = "id long, set_hi long, set_lo long, items array<long>"
+    """(id, set_hi, set_lo, items, parity) of (id, text) rows: fingerprint, distinct shingle hashes and their parity bitmap.
+
+    Empty sets are left out.
+    """
+    ddl = "id long, set_hi long, set_lo long, items array<long>, parity array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +156,8 @@ def full_sets(df: DataFrame, width: int) -> DataFrame:
                 hi, low = fingerprints([sets[i] for i in full])
                 ids = batch.column(0).slice(lo, len(sets)).take(pa.array(full, pa.int64()))
                 items = pa.array([sets[i].view(np.int64) for i in full], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(hi), pa.array(low), items], names=["id", "set_hi", "set_lo", "items"])
+                parity = pa.array(list(parity_bitmaps([sets[i] for i in full])), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(hi), pa.array(low), items, parity], names=["id", "set_hi", "set_lo", "items", "parity"])
 
     return df.select("id", "text").mapInArrow(run, ddl)
 
@@ -162,17 +179,25 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 5, p
         sizes = F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * percent
         return sizes & (odd <= most)
 
+    def last(x: str, y: str) -> Column:
+        # The bitmaps of whole sets differ in no more bits than the sets do in elements: an exact bound.
+        differ = reduce(add, [F.bit_count(F.col(f"{x}.parity")[i].bitwiseXOR(F.col(f"{y}.parity")[i])) for i in range(PARITY_BITS // 64)])
+        return near(x, y) & (differ * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent))
+
+    def narrow(ids: DataFrame) -> DataFrame:
+        return sets.join(ids, "id").select("id", "parity")
+
     asked = reps.select("key", "id", "set_hi", "set_lo").join(members.select(F.col("id").alias("key")).distinct(), "key")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = full_sets(texts.join(asked.select("id").distinct(), "id"), width).join(asked, ["id", "set_hi", "set_lo"])
-    sets = cut(sets.dropDuplicates(["key"]).select(F.col("key").alias("id"), "items"))
+    sets = cut(sets.dropDuplicates(["key"]).select(F.col("key").alias("id"), "items", "parity"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("xs")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("ys")), "b")
         common = F.size(F.array_intersect("xs", "ys"))
         return both.where(100 * common >= percent * (F.size("xs") + F.size("ys") - common)).select("a", "b")
 
-    links = link_buckets(members, features, near, verify)
+    links = link_buckets(members, features, near, verify, narrow=narrow, last=last)
     docs = reps.select("key", "id")
     ends = links.join(docs.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(docs.select(F.col("key").alias("b"), F.col("id").alias("y")), "b")
     same = held.join(groups, ["set_hi", "set_lo"]).where("id <> rep").select(F.col("rep").alias("x"), F.col("id").alias("y"))

@@ -13,6 +13,7 @@ only, every score is the share of toxic training rows (0 if there are none).
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from .textkernel import chunks, mix64, span_hashes, word_spans
 
 CHAIN = 64
 TABLE_BITS = 19
-TRAIN_DOCS = 1500
+TRAIN_DOCS = 1200
 MIN_SHARE = 0.9
 SIGNIFICANCE = 0.01
 STEPS = 20
@@ -65,13 +66,11 @@ class ToxicityModel:
     document: np.ndarray
     base: float
 
-    def marginals(self, chain_starts: np.ndarray, features: np.ndarray) -> np.ndarray:
-        """P(tag is toxic) of every token."""
-        n = features.shape[1]
-        if not n:
+    def marginals(self, chain_starts: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """P(tag is toxic) of every token; slot: table places, a row per kind of feature."""
+        if not slot.shape[1]:
             return np.zeros(0)
-        scores = self.weights[slots(features)].sum(axis=0) + self.bias
-        return _forward_backward(scores, chain_starts, self.transitions)[0]
+        return _forward_backward(_emissions(self.weights, slot) + self.bias, chain_starts, self.transitions)[0]
 
     def document_scores(self, marginal: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
         if self.document is None:
@@ -80,7 +79,14 @@ class ToxicityModel:
 
 
 def slots(features: np.ndarray) -> np.ndarray:
-    return (features >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    return (features >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
+
+
+def _emissions(weights: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    total = np.zeros(slot.shape[1])
+    for row in slot:
+        total += weights[row]
+    return total
 
 
 def _summaries(marginal: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
@@ -166,11 +172,13 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
         all_rows.append(rows + lo)
         firsts.append(first + tokens)
         tokens += len(rows)
-    features, rows, first = np.concatenate(feats, axis=1), np.concatenate(all_rows), np.concatenate(firsts)
     if not tokens:
         return ToxicityModel(weights, transitions, 0.0, None, base)
+    features, rows, first = np.concatenate(feats, axis=1), np.concatenate(all_rows), np.concatenate(firsts)
+    feats.clear()
     label = _label_tokens(features, rows, y)
     slot = slots(features)
+    del features
     observed = np.zeros((2, 2))
     inner = np.ones(tokens, dtype=bool)
     inner[first] = False
@@ -178,8 +186,7 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
     bias = float(np.log((label.sum() + 1) / (tokens - label.sum() + 1)))
     squares, move_squares, bias_square = np.full(1 << TABLE_BITS, 1e-8), np.full((2, 2), 1e-8), 1e-8
     for _ in range(STEPS):  # adaptive gradient ascent on the conditional likelihood
-        scores = weights[slot].sum(axis=0) + bias
-        marginal, expected = _forward_backward(scores, first, transitions)
+        marginal, expected = _forward_backward(_emissions(weights, slot) + bias, first, transitions)
         error = label - marginal
         gradient = -1e-3 * weights
         for row in slot:
@@ -193,7 +200,7 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
         bias_square += error.sum() ** 2
         bias += 0.3 * error.sum() / np.sqrt(bias_square)
     model = ToxicityModel(weights.astype(np.float32), transitions, bias, None, base)
-    x = _summaries(model.marginals(first, features), rows, len(y))
+    x = _summaries(model.marginals(first, slot), rows, len(y))
     beta = np.zeros(x.shape[1])
     for _ in range(30):  # Newton's method with a small ridge
         p = 1 / (1 + np.exp(-(x @ beta)))
@@ -203,19 +210,14 @@ def fit(texts: list[str], toxic: list[int]) -> ToxicityModel:
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> tuple[list[str], list[int]]:
-    """About ``bound`` labelled texts of either kind, drawn by a hash of the id; a bounded sample."""
+def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> DataFrame:
+    """(doc_id, text, toxic): about ``bound`` labelled texts of either kind, drawn by a hash of the id; a bounded sample."""
     marked = labels.where("toxic is not null").where(fold("doc_id", 3) != 1).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}  # two rows
     u = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 40)) / float(1 << 40)
     share = F.coalesce(*[F.when(F.col("toxic") == kind, F.lit(min(1.0, bound / n))) for kind, n in counts.items()], F.lit(0.0))
     drawn = F.broadcast(marked.where(u < share))  # about 2 * bound ids at most
-    drawn = docs.select("doc_id", "text").join(drawn, "doc_id").dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").select("text", "toxic")
-    texts, toxic = [], []
-    for r in drawn.toLocalIterator():
-        texts.append(r["text"] or "")
-        toxic.append(r["toxic"])
-    return texts, toxic
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(drawn, "doc_id").dropDuplicates(["doc_id", "text"])
 
 
 def score_documents(df: DataFrame, text_col: str, model: ToxicityModel, keep: list[str]) -> DataFrame:
@@ -228,7 +230,7 @@ def score_documents(df: DataFrame, text_col: str, model: ToxicityModel, keep: li
         for batch in batches:
             for lo, data, offsets in chunks(batch.column(len(keep))):
                 starts, ends, rows, first, features = token_features(data, offsets)
-                p = field.marginals(first, features)
+                p = field.marginals(first, slots(features))
                 n = len(offsets) - 1
                 scores = field.document_scores(p, rows, n)
                 point = np.append(np.cumsum((data & 0xC0) != 0x80), 0) if len(data) else np.zeros(1, dtype=np.int64)
@@ -248,8 +250,19 @@ def score_documents(df: DataFrame, text_col: str, model: ToxicityModel, keep: li
     return source.mapInArrow(run, schema.add("__spans", T.ArrayType(struct)))
 
 
-def fit_from_tables(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
-    return fit(*training_rows(documents, labels))
+def fit_from_tables(documents: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> ToxicityModel:
+    """Fits the model to the bounded sample of labelled rows, in one task; only the weights come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for batch in batches:
+            texts += [t or "" for t in batch.column(0).to_pylist()]
+            toxic += batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, toxic))], pa.binary())], names=["model"])
+
+    rows = training_rows(documents, labels, bound).repartition(1).sortWithinPartitions("doc_id", "text")
+    found = rows.select("text", "toxic").mapInArrow(run, "model binary").collect()  # one row
+    return pickle.loads(found[0]["model"]) if found else fit([], [])
 
 
 def op9_crf_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
