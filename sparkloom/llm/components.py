@@ -64,8 +64,8 @@ def link_buckets(
     (a, b). A bucket's pairs are never all listed: first each member meets one pivot of its bucket,
     which settles groups of copies in a row per member; then only members of a bucket that are
     still in different components meet one another. Pairs left out are within one component.
-    ``narrow`` may give the members of those last buckets more features (id and others); ``last``
-    then stands for ``near``.
+    ``narrow`` may give the members of those last buckets more features (id and others). ``last``
+    stands for ``near`` there; it may also tell in which of the buckets that two ids share they meet.
     """
     columns = [c for c in features.columns if c != "id"]
     members = cut(members.join(features, "id").withColumn("label", F.col("id")))

@@ -182,15 +182,18 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, width: int = 5, p
     def last(x: str, y: str) -> Column:
         # The bitmaps of whole sets differ in no more bits than the sets do in elements: an exact bound.
         differ = reduce(add, [F.bit_count(F.col(f"{x}.parity")[i].bitwiseXOR(F.col(f"{y}.parity")[i])) for i in range(PARITY_BITS // 64)])
-        return near(x, y) & (differ * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent))
+        bound = differ * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
+        # Two sets may share many bands; their pair is made in the first of them alone.
+        shared = F.coalesce(*[F.when(F.col(f"{x}.bands")[i] == F.col(f"{y}.bands")[i], F.col(f"{x}.bands")[i]) for i in range(BANDS)])
+        return near(x, y) & bound & (shared == F.col(f"{x}.bucket"))
 
     def narrow(ids: DataFrame) -> DataFrame:
-        return sets.join(ids, "id").select("id", "parity")
+        return sets.join(ids, "id").select("id", "parity", "bands")
 
-    asked = reps.select("key", "id", "set_hi", "set_lo").join(members.select(F.col("id").alias("key")).distinct(), "key")
+    asked = reps.select("key", "id", "set_hi", "set_lo", "bands").join(members.select(F.col("id").alias("key")).distinct(), "key")
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = full_sets(texts.join(asked.select("id").distinct(), "id"), width).join(asked, ["id", "set_hi", "set_lo"])
-    sets = cut(sets.dropDuplicates(["key"]).select(F.col("key").alias("id"), "items", "parity"))
+    sets = cut(sets.dropDuplicates(["key"]).select(F.col("key").alias("id"), "items", "parity", "bands"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("xs")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("ys")), "b")
