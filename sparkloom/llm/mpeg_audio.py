@@ -156,18 +156,18 @@ def probe(data: bytes) -> Probe:
     """Reads a whole MPEG audio stream; runs of frames with one header are read together."""
     out, view, pos, offsets = Probe(), np.frombuffer(data, dtype=np.uint8), 0, []
     end = len(data)
-    if data[-128:-125] == b"TAG":
-        end -= 128
-        out.tags["TIT1"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
     kind, table_open = None, True
     while pos < end:
         if data[pos : pos + 3] == b"ID3" and pos + 10 <= end:
             pos = _id3v2(data, pos, out.tags)
             continue
+        if end - pos == 128 and data[pos : pos + 3] == b"TAG":  # looked for behind the frames alone: a frame may hold these bytes
+            out.tags["TIT1"] = data[pos + 3 : pos + 33].rstrip(b"\0 ").decode("latin-1")
+            break
         head = read_header(data[pos : pos + 4])
         if head and pos + head.length <= end:
             after = data[pos + head.length : pos + head.length + 4]
-            follows = pos + head.length == end or after[:3] == b"ID3" or ((n := read_header(after)) and n.kind == head.kind)
+            follows = pos + head.length == end or after[:3] in (b"ID3", b"TAG") or ((n := read_header(after)) and n.kind == head.kind)
             if kind is not None and head.kind == kind or follows:
                 kind = kind or head.kind
                 if table_open and (table := _vbr_table(data[pos : pos + head.length], head)) is not None:
