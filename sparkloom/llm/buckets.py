@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from .storage import cut
 
 #: Buckets up to this size are looked through at once; members of larger ones all stay.
-SMALL = 16
+SMALL = 128
 
 
 def _staying(bucket: np.ndarray, hashes: np.ndarray | None, max_bits: int) -> np.ndarray:
