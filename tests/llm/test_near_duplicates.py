@@ -159,3 +159,11 @@ def test_components(spark):
     want = union(edges, {i for e in edges for i in e})
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want and got[200] == 1 and got[500] == 400
+
+
+def test_lines_that_differ_in_digits(spark):
+    rows = [(1, "12 345 678\n2021-03-04\nChapter 1"), (2, "90 111 222\n1998-12-31\nChapter 2"), (3, "12 345 678\nthe meeting of the whole board was held in room 7")]
+    rows += [(4, "the meeting of the whole board was held in room 8")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["line"]): (r["first_id"], r["first_line"]) for r in mark_lines(df, "doc_id", "text").collect()}
+    assert {k: v for k, v in got.items() if k != v} == {(3, 0): (1, 0), (4, 0): (3, 1)}
