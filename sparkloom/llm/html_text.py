@@ -1,10 +1,10 @@
 """HTML extraction: the main text of a page by two passes of block rules.
 
 First pass: every block is judged alone by the structure it stands in, its length, link density and
-stop-word density; blocks inside the page's article count as text unless they are mostly links,
-blocks inside menus, notices, adverts, forms or comments never do. Second pass: blocks too short or
-too middling to judge inherit the label of the nearest decided blocks around them (text only where
-both sides are text, or the one side there is).
+stop-word density; blocks inside menus, notices, adverts, forms or comments never count as text.
+Second pass: blocks too short or too middling to judge inherit the label of the nearest decided
+blocks around them. Standing inside an article is one feature more: such blocks inherit from blocks
+inside articles alone and count as text where none of these is decided; it decides no block of length.
 
 Null and empty pages give the empty text. Broken markup (unclosed tags, references without a
 semicolon, stray brackets) is read as browsers would roughly do. Pages of any length are read whole.
@@ -51,6 +51,9 @@ _STOP = [
 ]
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.15, 0.30
+#: The low bound inside an article, for what doesn't end as sentences do: lists of wares and keywords have next to no function words.
+STOP_INSIDE = 0.05
+_SENTENCE_ENDS = ".!?…:;\"'”’»)。！？"
 MAX_LINKS = 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([/]?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S)
@@ -158,48 +161,60 @@ def blocks(page: str) -> Iterator[_Block]:
     yield from flush()
 
 
-def _alone(b: _Block, has_main: bool) -> str:
-    """First pass: good, bad, near (middling) or short."""
+def _density(b: _Block) -> float:
+    words = _WORDS.findall(b.text.lower())
+    return max(sum(w in stop for w in words) for stop in _STOP) / max(1, len(words))
+
+
+def _alone(b: _Block, density: float, known: bool) -> str:
+    """First pass: good, bad, near (middling) or short. Where no block reads as a known language, density tells nothing."""
     n = len(b.text)
-    if b.apart or has_main and not b.inside or b.links > MAX_LINKS * n:
-        return "bad"
-    if has_main:
-        return "good"
-    if "©" in b.text and n < LONG:
+    if b.apart or b.links > MAX_LINKS * n or "©" in b.text and n < LONG:
         return "bad"
     if b.heading:
         return "short"
-    words = _WORDS.findall(b.text.lower())
     if n < SHORT:
-        return "bad" if b.links else "short"
-    density = max(sum(w in stop for w in words) for stop in _STOP) / max(1, len(words))
+        return "bad" if b.links and not b.inside else "short"
     if density >= STOP_HIGH:
         return "good" if n > LONG else "near"
-    if density >= STOP_LOW or b.hinted:
+    if density >= STOP_LOW or b.hinted or b.inside and (not known or density >= STOP_INSIDE or b.text[-1] in _SENTENCE_ENDS):
         return "near"
     return "bad"
 
 
+def _nearest(labels: list[str | None]) -> list[str | None]:
+    """The last decided label up to each place."""
+    out, last = [], None
+    for x in labels:
+        last = x or last
+        out.append(last)
+    return out
+
+
+def _around(labels: list[str | None]) -> list[tuple[str | None, str | None]]:
+    return list(zip(_nearest(labels), _nearest(labels[::-1])[::-1]))
+
+
 def extract_text(page: str | None) -> str:
     """The main text: its blocks joined by newlines."""
     found = list(blocks(page or ""))
     has_main = any(b.inside and not b.apart for b in found)
-    labels = [_alone(b, has_main) for b in found]
+    densities = [_density(b) for b in found]
+    known = any(d >= STOP_LOW and len(b.text) >= SHORT and not b.apart for b, d in zip(found, densities))
+    labels = [_alone(b, d, known) for b, d in zip(found, densities)]
     if not has_main and not any(x in ("good", "bad") for x in labels):
         return "\n".join(b.text for b in found)
-    decided: list[str | None] = [x if x in ("good", "bad") else None for x in labels]
-    before, after, last = list(decided), list(decided), None
-    for i, x in enumerate(decided):
-        last = x or last
-        before[i] = last
-    last = None
-    for i in range(len(decided) - 1, -1, -1):
-        last = decided[i] or last
-        after[i] = last
+    decided = [x if x in ("good", "bad") else None for x in labels]
+    everywhere = _around(decided)
+    # What stands inside an article is judged by what else does, not by the menus around it.
+    within = _around([x if b.inside and not b.apart else None for b, x in zip(found, decided)])
     keep = []
-    for b, label, prev, nxt in zip(found, labels, before, after):
+    for b, label, sides, inner in zip(found, labels, everywhere, within):
+        prev, nxt = inner if b.inside else sides
         if label == "near":
             label = "bad" if prev == nxt == "bad" and not b.hinted else "good"
+        elif label == "short" and b.inside:
+            label = "bad" if "bad" in (prev, nxt) and "good" not in (prev, nxt) else "good"
         elif label == "short":
             label = "good" if prev == nxt == "good" or b.heading and nxt == "good" or b.hinted and "good" in (prev, nxt) else "bad"
         if label == "good":

@@ -61,6 +61,18 @@ def test_pages():
     assert extract_text("<div>" * 3000 + "deep words") == "deep words"
 
 
+def test_pages_article_is_one_feature_of_many():
+    prose = "It was the end of the day and all of the people who had been at the market were on their way to the river with what they had left. " * 3
+    tail = "There was not one of them who would have said that it was the last time they had been there, and so it is told by all to this day. " * 3
+    teaser = f"<html><body><div>{prose}</div><div>{tail}</div><article><h3>More news</h3><p>Short card</p></article></body></html>"
+    assert prose.strip() in extract_text(teaser) and tail.strip() in extract_text(teaser)
+    words = "Widget gadget gizmo premium offer bargain discount voucher outlet clearance catalogue warehouse delivery returns"
+    inside = f"<html><body><article><h1>Market day</h1><p>{prose}</p><p>{words}</p><p>&copy; 2020 Market Press</p><p>{tail}</p></article></body></html>"
+    assert extract_text(inside) == f"Market day\n{prose.strip()}\n{tail.strip()}"
+    other = "<html><body><article><p>" + "Ez a szöveg olyan nyelven íródott, amelynek gyakori szavait ez az eljárás egyáltalán ismeri. " * 3 + "</p></article></body></html>"
+    assert extract_text(other).startswith("Ez a szöveg")
+
+
 def test_pages_whole_table(spark, small):
     rows = op5_block_rules_extraction(spark.read.parquet(f"{small}/pages.parquet")).collect()
     assert len(rows) == pq.read_table(f"{small}/pages.parquet").num_rows
