@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .storage import cut
 
-#: Codes, and caps of each that a vector lies in: of random pairs at cosine 0.95, about 1 in 10,000 share none.
+#: Codes of two blocks, and the best caps of each that a vector is kept in; see ``code_draws`` for more blocks.
 DRAWS, CAPS = 2, 20
 MAX_BLOCK_CODES = 4096
 CELL = 512
@@ -87,7 +87,7 @@ class ProductCode:
 
 
 def code_shape(vectors: int) -> tuple[int, int]:
-    """(blocks, codes a block): about two directions per cap entry of the table, at any size."""
+    """(blocks, codes a block): at least one direction per cap entry of a code, at any size."""
     wanted = max(2.0 * CAPS * max(1, vectors), 1 << 12)
     blocks = 2
     while wanted ** (1 / blocks) > MAX_BLOCK_CODES:
@@ -95,6 +95,11 @@ def code_shape(vectors: int) -> tuple[int, int]:
     return blocks, 1 << math.ceil(math.log2(wanted ** (1 / blocks)))
 
 
+def code_draws(blocks: int) -> int:
+    """Codes to draw: with more blocks a single code misses more of the close pairs, and more codes make up for it."""
+    return DRAWS * (blocks - 1)
+
+
 def unit_rows(column: pa.Array) -> np.ndarray:
     """The rows of a list column of one length, in double precision, scaled to length 1."""
     flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
@@ -109,6 +114,7 @@ def cap_members(vectors: DataFrame, shape: tuple[int, int], caps: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books: dict[int, list[ProductCode]] = {}
+        draws = code_draws(shape[0])
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
@@ -116,12 +122,12 @@ def cap_members(vectors: DataFrame, shape: tuple[int, int], caps: int) -> DataFr
                 for dim in np.unique(sizes).tolist():
                     rows = np.flatnonzero(sizes == dim)
                     if dim not in books:
-                        books[dim] = [ProductCode(dim, *shape, draw) for draw in range(DRAWS)]
+                        books[dim] = [ProductCode(dim, *shape, draw) for draw in range(draws)]
                     unit = unit_rows(part.column(1).take(pa.array(rows)))
                     for draw, code in enumerate(books[dim]):
                         at, name = code.decode(unit, caps)
                         ids = part.column(0).take(pa.array(rows[at]))
-                        space = pa.array(np.full(len(name), dim * DRAWS + draw), pa.int32())
+                        space = pa.array(np.full(len(name), dim * draws + draw), pa.int32())
                         yield pa.RecordBatch.from_arrays([space, pa.array(name, pa.int64()), ids], names=["space", "bucket", "id"])
 
     return vectors.select("id", "v").mapInArrow(run, "space int, bucket long, id long")

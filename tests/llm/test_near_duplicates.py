@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from sparkloom.llm.cap_filters import embedding_near_duplicates, op3_cap_filter_near_dedup
+from sparkloom.llm.cap_filters import CAPS, cap_members, code_shape, embedding_near_duplicates, op3_cap_filter_near_dedup
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.edit_distance import edit_distance, within_edits
 from sparkloom.llm.line_dedup import MAX_BITS, SIMILARITY, _TO_NORMAL, chunk_lines, dedup_lines, mark_lines
@@ -167,3 +167,17 @@ def test_lines_that_differ_in_digits(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc_id"], r["line"]): (r["first_id"], r["first_line"]) for r in mark_lines(df, "doc_id", "text").collect()}
     assert {k: v for k, v in got.items() if k != v} == {(3, 0): (1, 0), (4, 0): (3, 1)}
+
+
+def test_planted_vectors_share_a_cap_of_three_blocks(spark):
+    rng, n, cosine = np.random.default_rng(7), 2000, 0.9501
+    x, z = rng.standard_normal((2, n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    shape = code_shape(450_000)
+    assert shape[0] == 3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i + n, v.tolist()) for i, v in enumerate(y)]
+    members = cap_members(spark.createDataFrame(rows, "id long, v array<double>").repartition(8), shape, CAPS)
+    left, right = members.where(f"id < {n}"), members.where(f"id >= {n}").selectExpr("space", "bucket", f"id - {n} as id")
+    assert left.join(right, ["space", "bucket", "id"]).select("id").distinct().count() == n
