@@ -221,4 +221,20 @@ def document_normalisation(t):
     return texts.unionByName(grids, allowMissingColumns=True)
 
 
+@book.add("""
+select doc_id, text, 'text' as type from documents
+union all select s_suppkey, 'Tabela extraída de supplier (página/aba: ' || s_suppkey || '):' || chr(10) || chr(10) || '| name | balance |' || chr(10) || '| --- | --- |' || chr(10)
+  || '| ' || coalesce(s_name, '') || ' | ' || coalesce(s_acctbal::decimal(18, 2)::varchar, '') || ' |', 'table' from supplier
+""")
+def document_normalisation_whole(t):
+    """Whole texts as they are; tables with their header, rule and values."""
+    texts = t("documents").select("doc_id", "text", F.lit("text").alias("type"))
+    balance = F.coalesce(F.col("s_acctbal").cast("decimal(18,2)").cast("string"), F.lit(""))
+    grid = F.concat(
+        F.lit("Tabela extraída de supplier (página/aba: "), F.col("s_suppkey").cast("string"), F.lit("):\n\n| name | balance |\n| --- | --- |\n| "),
+        F.coalesce("s_name", F.lit("")), F.lit(" | "), balance, F.lit(" |"),
+    )
+    return texts.unionByName(t("supplier").select(F.col("s_suppkey").alias("doc_id"), grid.alias("text"), F.lit("table").alias("type")))
+
+
 QUERIES, SQL = book.queries, book.sql

@@ -41,3 +41,10 @@ def test_plan(spark, small, duck, name):
     names = [x[0] for x in said.description]
     assert sorted(names) == columns
     assert rows == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in said.fetchall())
+
+
+def test_whole_documents_keep_long_texts(spark, small):
+    rows = plans.queries()["document_normalisation_whole"](spark, small).where("type = 'text'")
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert docs.where("length(text) > 200").count() > 0
+    assert rows.select("doc_id", "text").exceptAll(docs.select("doc_id", "text")).count() == 0 and rows.count() == docs.count()
