@@ -1,4 +1,8 @@
-"""Cutting lineage through the shared checkpoint folder, and reading tables."""
+"""Cutting lineage through the shared checkpoint folder, and reading tables.
+
+What is written there serves the DataFrames built on it, so it stays until ``release`` (or the
+folder's own expiry) removes it.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +18,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-checkpoint-"))
 
 
@@ -32,9 +38,28 @@ def rewritten(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/rewritten-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Removes all that this session has written to the checkpoint folder; DataFrames built on it can't be read any more."""
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(found.get())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """``names``, made longer until ``df`` has no such columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

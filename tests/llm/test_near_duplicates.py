@@ -1,16 +1,13 @@
 """Lines, documents and vectors against brute force on small tables."""
 
 import numpy as np
-import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 from sparkloom.llm.cap_filters import CAPS, cap_members, code_shape, embedding_near_duplicates, op3_cap_filter_near_dedup
 from sparkloom.llm.components import connected_components
 from sparkloom.llm.edit_distance import edit_distance, within_edits
-from sparkloom.llm.line_dedup import MAX_BITS, SIMILARITY, _TO_NORMAL, chunk_lines, dedup_lines, mark_lines
 from sparkloom.llm.odd_sketch import near_duplicates, op2_odd_sketch_near_dedup
-from sparkloom.llm.textkernel import chunks
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -70,49 +67,6 @@ def test_documents_odd_cases(spark):
     assert near_duplicates(df.limit(0), "doc_id", "text").collect() == []
 
 
-def lines_of(rows):
-    found = []
-    for i, text in rows:
-        for _, data, offsets in chunks(pa.array([text], pa.string())):
-            got = chunk_lines(data, offsets)
-            parts = (text or "").encode().split(b"\n")
-            for n, h in zip(got[1].tolist(), got[3].view(np.uint64).tolist()):
-                found.append(((i, n), h, b" ".join(parts[n].translate(_TO_NORMAL).split()).decode("utf-8", "replace")))
-    return found
-
-
-def brute_lines(rows):
-    found = lines_of(rows)
-    links = []
-    for k, (a, h, x) in enumerate(found):
-        for b, g, y in found[k + 1 :]:
-            if x == y or bin(h ^ g).count("1") <= MAX_BITS and edit_distance(x, y) <= int(max(len(x), len(y)) * (1 - SIMILARITY) + 1e-9):
-                links.append((a, b))
-    return union(links, [f[0] for f in found])
-
-
-def test_lines_against_all_pairs(spark):
-    base = "the quick brown fox jumps over the lazy dog while many other animals watch from the near side of a long river bank"
-    words = base.split()
-    rng = np.random.default_rng(5)
-    rows = [(0, None), (1, ""), (2, "\n\n--\n"), (3, base), (4, base.upper() + "\n" + base)]
-    for i in range(10, 60):
-        w = list(words) * 3
-        for _ in range(int(rng.integers(0, 5))):
-            w[int(rng.integers(len(w)))] += "s"
-        rows.append((i, " ".join(w) + f"\nown line {'abcdefgh'[i % 8] * 9} {i}\n" + " ".join(rng.permutation(words))))
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, line long")
-    got = {(r["doc_id"], r["line"]): (r["first_id"], r["first_line"]) for r in mark_lines(df, "doc_id", "text").collect()}
-    assert got == brute_lines(rows)
-
-
-def test_lines_leave_rows_and_columns(spark):
-    df = spark.createDataFrame([(1, "a b\nc d", 7), (2, "A b\n\n---\nnew", 8), (3, None, 9), (None, "a b", 1)], "doc_id long, text string, line long")
-    got = sorted((r["doc_id"] or 0, r["text"], r["line"]) for r in dedup_lines(df, "doc_id", "text").collect())
-    assert got == [(0, "a b", 1), (1, "a b\nc d", 7), (2, "\n---\nnew", 8), (3, None, 9)]
-    assert dedup_lines(df.limit(0), "doc_id", "text").collect() == []
-
-
 @pytest.mark.parametrize("a, b", [("", ""), ("abc", ""), ("kitten", "sitting"), ("flaw", "lawn"), ("a" * 300, "a" * 290 + "b" * 9)])
 def test_edit_distance(a, b):
     table = list(range(len(b) + 1))
@@ -161,14 +115,6 @@ def test_components(spark):
     assert got == want and got[200] == 1 and got[500] == 400
 
 
-def test_lines_that_differ_in_digits(spark):
-    rows = [(1, "12 345 678\n2021-03-04\nChapter 1"), (2, "90 111 222\n1998-12-31\nChapter 2"), (3, "12 345 678\nthe meeting of the whole board was held in room 7")]
-    rows += [(4, "the meeting of the whole board was held in room 8")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r["doc_id"], r["line"]): (r["first_id"], r["first_line"]) for r in mark_lines(df, "doc_id", "text").collect()}
-    assert {k: v for k, v in got.items() if k != v} == {(3, 0): (1, 0), (4, 0): (3, 1)}
-
-
 def test_planted_vectors_share_a_cap_of_three_blocks(spark):
     rng, n, cosine = np.random.default_rng(7), 2000, 0.9501
     x, z = rng.standard_normal((2, n, 64))
