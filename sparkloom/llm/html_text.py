@@ -8,6 +8,8 @@ inside articles alone and count as text where none of these is decided; it decid
 
 Null and empty pages give the empty text. Broken markup (unclosed tags, references without a
 semicolon, stray brackets) is read as browsers would roughly do. Pages of any length are read whole.
+One row out per row in: rows that repeat an id, and rows whose id or url is null, keep theirs and are
+read like any other; an empty table gives no rows. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,12 +32,21 @@ _BLOCK = frozenset(
 _OUTSIDE = frozenset("nav footer aside form menu dialog button fieldset head".split())
 _MAIN = frozenset("article main".split())
 _CLOSES_P = _BLOCK - {"html", "body", "head"}
-# Words of class and id attributes, and roles, that mark what is not main text.
+# Words of class and id attributes that mark what is not main text, wherever in a name they stand,
 _MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert "
-    "newsletter subscribe subscription signup sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment "
-    "comments commentlist respond reply replies disqus share sharing social related recommended recommendations popup modal overlay login search pagination "
-    "pager skip hidden disclaimer form".split()
+    "advert adverts advertisement advertising adbox sponsored cookie cookies gdpr newsletter sidebar nav navbar navigation breadcrumb breadcrumbs footer "
+    "masthead topbar toolbar comments commentlist disqus pagination".split()
+)
+# words that mark it alone or with the words below them ("form", "search-form", but not "form-factor"),
+_WEAK_MARKS = frozenset(
+    "ad ads adv banner sponsor sponsors promo promotion promotions consent notice notices alert alerts subscribe subscription signup widget widgets menu menus comment "
+    "respond reply replies share sharing social related recommended recommendations popup modal overlay login search pager skip hidden disclaimer form forms".split()
+)
+# and words of layout.
+_LAYOUT_WORDS = frozenset(
+    "box bar block list item items container wrapper wrap area section panel slot unit zone row group holder module inner outer body text title message icons icon links link "
+    "button buttons btn input field label top bottom left right main site page global primary secondary header content post posts article articles story stories recent "
+    "entries archive archives categories category tags tag meta thread to".split()
 )
 _ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar form".split())
 _CONTENT = frozenset("article post entry story content main".split())
@@ -58,28 +69,45 @@ MAX_LINKS = 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([/]?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S)
 _LOOSE = re.compile(r"<([/]?)([A-Za-z][^\s/>]*)([^>]*)>")
-_ATTR = re.compile(r"(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_KEPT_ATTRIBUTES = frozenset(("class", "id", "role", "style", "aria-hidden", "hidden"))
 _WORDS = re.compile(r"[^\W\d_]+")
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _apart(name: str, attributes: str, in_main: bool) -> bool:
+def _attributes(inside: str) -> dict[str, str]:
+    """The attributes of a tag that tell what it holds; names and values are read one after the other, so no value counts as a name."""
+    found = {}
+    for name, *values in _ATTR.findall(inside):
+        if name.lower() in _KEPT_ATTRIBUTES:
+            found.setdefault(name.lower(), next(filter(None, values), ""))
+    return found
+
+
+def _marked(names: str, in_main: bool) -> bool:
+    """Whether one of the blank-separated class names or ids marks what is not main text."""
+    for name in names.split():
+        words = {w.lower() for w in _PIECES.findall(name) if len(w) > 1}
+        if words & _MARKS or "header" in words and not in_main and words <= _LAYOUT_WORDS:
+            return True
+        if words & _WEAK_MARKS and words <= _WEAK_MARKS | _LAYOUT_WORDS:
+            return True
+    return False
+
+
+def _apart(name: str, attributes: dict[str, str], in_main: bool) -> bool:
     """Whether an element holds no main text, by its name and attributes."""
     if name in _OUTSIDE or name == "header" and not in_main:
         return True
     if not attributes or name in ("html", "body") or name in _MAIN:
         return False
-    for key, *values in _ATTR.findall(attributes):
-        key, value = key.lower(), next(filter(None, values), "")
-        if key in ("class", "id"):
-            words = {w.lower() for w in _PIECES.findall(value)}
-            if words & _MARKS or "header" in words and not in_main:
-                return True
-        elif key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+    return (
+        _marked(f"{attributes.get('class', '')} {attributes.get('id', '')}", in_main)
+        or attributes.get("role", "").lower() in _ROLES
+        or "hidden" in attributes
+        or attributes.get("aria-hidden", "").lower() == "true"
+        or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I) is not None
+    )
 
 
 class _Block:
@@ -153,9 +181,10 @@ def blocks(page: str) -> Iterator[_Block]:
                     break
         top = stack[-1] if stack else ("", False, False, False)
         if name in _BLOCK or m.group(3):
-            words = {w.lower() for w in _PIECES.findall(m.group(3))} if m.group(3) and name in ("div", "section", "td") else ()
-            inside = top[2] or name in _MAIN
-            stack.append((name, top[1] or _apart(name, m.group(3), top[2]), inside, top[3] or bool(_CONTENT.intersection(words))))
+            attributes = _attributes(m.group(3)) if m.group(3) else {}
+            named = f"{attributes.get('class', '')} {attributes.get('id', '')}" if name in ("div", "section", "td") else ""
+            hinted = top[3] or not _CONTENT.isdisjoint(w.lower() for w in _PIECES.findall(named))
+            stack.append((name, top[1] or _apart(name, attributes, top[2]), top[2] or name in _MAIN, hinted))
         else:
             stack.append((name, top[1], top[2], top[3]))
     yield from flush()
