@@ -8,23 +8,31 @@ Documents meet in groups of about ``GROUP``; each group leaves one open document
 again a level up, so that a source is settled by a tree of small groups. A source's words miss
 its target by one document's size at most.
 
+Rows of one id, source and size are interchangeable and go as one item: counted before any shuffle
+of rows, they exchange probability among themselves first, which leaves a certain number of copies
+and one open fraction, however many they are.
+
 Randomness comes from hashes of the id, the size and the level: reruns agree. Null texts have size
 0; sizes of 0 take nothing. A null source is a source of its own, last in order. Rows that repeat
-an id are mixed row by row; equal rows are told apart by their order alone. An empty table gives
-no rows. Extra columns are left out.
+an id are mixed row by row. Texts of any length are counted whole. An empty table gives no rows.
+Extra columns are left out of the mix, whatever their names; ``take_copies`` keeps them.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import cut, spare
 
 GROUP = 64
+#: Equal rows that one row of the result's plan is spread to at once.
+SPREAD = 1000
 _ONE = 1 << 52
 
 
@@ -38,14 +46,14 @@ def uniform(*columns: Column | str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(_ONE)) / float(_ONE)
 
 
-def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
-    """(source, source_size, documents, target) by filling sources in proportion to weight up to ``most`` times their size.
+def source_targets(items: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """(source, source_size, items, target) of (source, size, rows) by filling sources in proportion to weight up to ``most`` times their size.
 
     Sources in code-point order, null last, take ``weights`` in turn. The common level at which the
     filled sources hold ``share`` of all words comes from running sums over the sources ordered by
     the level at which each is full; the table has a row per source.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"))
+    totals = items.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count(F.lit(1)).alias("items"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.array(*[F.lit(float(w)) for w in weights])[(place % len(weights)).cast("int")]
     rows = totals.withColumn("weight", weight).withColumn("full", F.col("source_size") * float(most))
@@ -62,7 +70,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     rows = rows.withColumn("order", order).withColumn("common", level)
     # A share above what all sources can hold fills every one of them.
     target = F.coalesce(F.least("full", F.col("common") * F.col("weight")), F.col("full"))
-    return rows.select("source", "source_size", "documents", target.alias("target"))
+    return rows.select("source", "source_size", "items", target.alias("target"))
 
 
 def _meet(state: Column, item: Column) -> Column:
@@ -119,42 +127,73 @@ def round_copies(items: DataFrame, seed: int) -> DataFrame:
     return last
 
 
-def mix_sources(
+def mixed_items(
     df: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 6
 ) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) for every row of ``df``."""
-    sizes = cut(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col).cast("string")).alias("size")))
-    sources = cut(source_targets(sizes, weights, share, most).withColumn("stratum", F.xxhash64("source", "source_size", "documents")))
-    rows = sizes.join(sources, sizes["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    """(id, source, size, rows, source_size, target, whole, more): every row of an item is taken ``whole`` times, ``more`` of them once more."""
+    sizes = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
+    items = cut(sizes.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("rows")))
+    sources = cut(source_targets(items, weights, share, most).withColumn("stratum", F.xxhash64("source", "source_size", "items")))
+    rows = items.join(sources, items["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    expected = F.col("rows") * (rate - F.floor(rate))
     rows = cut(
-        rows.withColumn("whole", F.floor(rate).cast("long")).withColumn("p", rate - F.floor(rate))
-        .select("id", "source", F.col("size"), "source_size", "target", "whole", "p", "stratum", F.col("documents").alias("count"))
+        rows.withColumn("whole", F.floor(rate).cast("long")).withColumn("sure", F.floor(expected).cast("long")).withColumn("p", expected - F.floor(expected))
+        .select("id", "source", "size", "rows", "source_size", "target", "whole", "sure", "p", "stratum", F.col("items").alias("count"))
     )
     open_rows = (F.col("size") > 0) & (F.col("p") > 0)
-    settled = round_copies(rows.where(open_rows), seed)
-    out = settled.unionByName(rows.where(~open_rows).withColumn("extra", F.lit(0)))
-    copies = F.col("whole") + F.col("extra")
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    settled = round_copies(rows.where(open_rows), seed).unionByName(rows.where(~open_rows).withColumn("extra", F.lit(0)))
+    return settled.select("id", "source", "size", "rows", "source_size", "target", "whole", (F.col("sure") + F.col("extra")).alias("more"))
+
+
+def mix_sources(df: DataFrame, id_col: str, text_col: str, source_col: str, **mix: object) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken) for every row of ``df``."""
+    items = mixed_items(df, id_col, text_col, source_col, **mix).withColumn("at", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / SPREAD))))
+    # Items of very many rows go out from many tasks.
+    spread = items.where(F.col("rows") <= SPREAD).unionByName(items.where(F.col("rows") > SPREAD).repartition("id", "source", "size", "at"))
+    first, last = F.col("at") * SPREAD + 1, F.least(F.col("rows"), (F.col("at") + 1) * SPREAD)
+    rows = spread.withColumn("place", F.explode(F.sequence(first, last)))
+    copies = F.col("whole") + (F.col("place") <= F.col("more")).cast("long")
+    return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def _places(df: DataFrame, row: str, place: str, keys: list[str]) -> DataFrame:
+    """``df`` (with a row number ``row`` of its partition and place) with each row's place among the rows of its keys.
+
+    Rows are counted within their partition first, so that no task holds a whole group.
+    """
+    part, own = spare(df, "__part", "__own")
+    rows = df.withColumn(part, F.shiftright(row, 33))
+    rows = rows.withColumn(own, F.row_number().over(Window.partitionBy(part, *keys).orderBy(row)))
+    theirs = [f"k{i}" for i in range(1 + len(keys))]
+    counts = rows.groupBy(*[F.col(c).alias(k) for k, c in zip(theirs, [part, *keys])]).agg(F.count(F.lit(1)).alias("n"))
+    above = Window.partitionBy(*theirs[1:]).orderBy(theirs[0]).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.withColumn("before", F.coalesce(F.sum("n").over(above), F.lit(0)))
+    same = reduce(and_, [rows[c].eqNullSafe(shifts[k]) for c, k in zip([part, *keys], theirs)])
+    return rows.join(shifts, same).select(*[rows[c] for c in df.columns], (rows[own] + shifts["before"]).alias(place))
 
 
 def take_copies(df: DataFrame, id_col: str, text_col: str, source_col: str, **mix: object) -> DataFrame:
     """The rows of ``df``, each as often as the mix takes it; all columns stay.
 
-    Copies are counted without the texts and joined to them by id; where ids repeat, by id and the
-    row's place among the rows of its id.
+    Copies are counted without the texts and joined to them by id; where ids repeat, by id, source,
+    size and the row's place among the rows of these.
     """
-    columns = df.columns
-    mixed = cut(mix_sources(df, id_col, text_col, source_col, **mix).select(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies"))
-    rows = df.withColumn("__place", F.lit(1))
-    mixed = mixed.withColumn("__place", F.lit(1))
-    if mixed.groupBy("__id").count().where("count > 1").limit(1).count():
-        own = Window.partitionBy(id_col).orderBy(F.col(source_col), word_count(F.col(text_col).cast("string")), F.xxhash64(text_col))
-        rows = df.withColumn("__place", F.row_number().over(own))
-        mixed = mixed.withColumn("__place", F.row_number().over(Window.partitionBy("__id").orderBy("__source", "__size", "copies")))
-    taken = mixed.where("copies > 0").select("__id", F.col("__place").alias("__at"), F.col("copies").cast("int").alias("__copies"))
-    joined = rows.join(taken, rows[id_col].eqNullSafe(taken["__id"]) & (F.col("__place") == F.col("__at")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+    row, place, source, size, copies, number = spare(df, "__row", "__place", "__source", "__size", "__copies", "__number")
+    items = cut(mixed_items(df, id_col, text_col, source_col, **mix).select("id", "source", "size", "rows", "whole", "more"))
+    repeats = items.groupBy("id").agg(F.sum("rows").alias("rows")).where("rows > 1").limit(1).count()
+    items = items.where("whole > 0 or more > 0")
+    if repeats:
+        # Written with its row numbers: the same rows get the same numbers whenever they are read.
+        rows = cut(df.withColumn(row, F.monotonically_increasing_id()).withColumn(source, F.col(source_col)).withColumn(size, word_count(F.col(text_col).cast("string"))))
+        rows = _places(rows, row, place, [id_col, source, size])
+        same = rows[id_col].eqNullSafe(items["id"]) & rows[source].eqNullSafe(items["source"]) & (rows[size] == items["size"])
+    else:
+        rows = df.withColumn(place, F.lit(1))
+        same = rows[id_col].eqNullSafe(items["id"])
+    times = items["whole"] + (rows[place] <= items["more"]).cast("long")
+    taken = rows.join(items, same).select(*[rows[c] for c in df.columns], times.cast("int").alias(copies)).where(F.col(copies) > 0)
+    return taken.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*df.columns)
 
 
 def op6_pivotal_mixing(documents: DataFrame) -> DataFrame:

@@ -6,12 +6,13 @@ from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkloom.llm.html_text import extract_text, op5_block_rules_extraction
 from sparkloom.llm.mpeg_audio import encode, op4_mpeg_audio, pad_payload, probe, stored_bytes
 from sparkloom.llm.packing import op7_cutting_stock_packing
-from sparkloom.llm.pivotal_mix import op6_pivotal_mixing, take_copies
+from sparkloom.llm.pivotal_mix import mix_sources, op6_pivotal_mixing, take_copies
 
 ODD = [(1, None, None), (2, "", "a"), (3, "word", "a"), (3, "word", "a"), (4, "many words here " * 9000, "b"), (5, "Grüße 😀\x00 <|endoftext|>", None), (6, "zwei drei", "b")]
 
@@ -73,6 +74,38 @@ def test_pages_article_is_one_feature_of_many():
     assert extract_text(other).startswith("Ez a szöveg")
 
 
+def test_pages_attributes_are_read_one_by_one():
+    """Values and longer names don't count as attributes; class names count whole."""
+    head = "<html><body><article><h1>Title</h1>"
+    for opening in (
+        '<p title="hidden gems">', '<p data-id="menu-item">', '<p title=\'x class="footer"\'>', '<p class="form-factor">', '<div class="related-work">', '<div id="notice-board">',
+        '<div class="skip-connection">', '<p data-hidden="1" alt=style>', '<p aria-label="role=dialog">', '<p hiddenness="a">',
+    ):
+        assert extract_text(f"{head}{opening}Kept text</article>") == "Title\nKept text", opening
+    for opening in ('<p hidden>', '<p class="lead ad">', '<div class="search-form">', '<div id=site-footer>', "<p style='display: none'>", '<p role="dialog" title="a">', '<div class="cookieBanner">', '<p CLASS="ad-slot-2">'):
+        assert extract_text(f"{head}<p>Kept text</p>{opening}Gone</article>") == "Title\nKept text", opening
+
+
+def test_pages_without_article():
+    """Text in plain blocks: density, length and neighbours decide."""
+    prose = "It was the end of the day and all of the people who had been at the market were on their way to the river with what they had left. " * 3
+    links = "".join(f"<li><a href=/{i}>Some place number {i}</a></li>" for i in range(9))
+    page = f"<body><ul>{links}</ul><div>Markets of the coast</div><div>{prose}</div><div>And so it went.</div><div>{prose}</div><ul>{links}</ul><div>Imprint</div></body>"
+    text = extract_text(page).split("\n")
+    assert [x.strip() for x in text if len(x) > 100] == [prose.strip()] * 2 and "And so it went." in text
+    assert "Imprint" not in text and not any("place number" in x for x in text)
+
+
+def test_pages_odd_rows(spark):
+    long = "<article>" + "<p>There is a lot of text that is on this page and it goes on for a while. </p>" * 20_000 + "</article>"
+    rows = [(1, "u", None), (1, None, ""), (None, "u", "<p>Some words"), (2, "v", long), (2, "v", long)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, id int")
+    got = op5_block_rules_extraction(df).collect()
+    assert sorted((r["page_id"] or 0, r["url"] or "", r["n_chars"]) for r in got) == sorted([(1, "u", 0), (1, "", 0), (0, "u", 10), *[(2, "v", len(extract_text(long)))] * 2])
+    assert extract_text(long).count("\n") == 19_999
+    assert op5_block_rules_extraction(df.limit(0)).collect() == []
+
+
 def test_pages_whole_table(spark, small):
     rows = op5_block_rules_extraction(spark.read.parquet(f"{small}/pages.parquet")).collect()
     assert len(rows) == pq.read_table(f"{small}/pages.parquet").num_rows
@@ -124,6 +157,22 @@ def test_mixing_odd_rows(spark):
     assert words == sum(r["taken"] for r in rows)
 
 
+def test_mixing_equal_rows_and_clashing_columns(spark):
+    """Tens of thousands of equal rows, nulls included, in one source or id."""
+    equal = spark.range(50_000).selectExpr("cast(null as long) as doc_id", "'one two three' as text", "'a' as source", "1 as size", "2 as rows", "'x' as s", "3 as __row")
+    own = spark.range(3_000).selectExpr("id as doc_id", "repeat('w ', cast(id % 40 as int)) as text", "if(id % 2 = 0, 'a', 'b') as source", "1 as size", "2 as rows", "'x' as s", "3 as __row")
+    df = equal.unionByName(own)
+    items = mix_sources(df, "doc_id", "text", "source").groupBy("source").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("n"))
+    rows = {r["source"]: r for r in items.collect()}
+    assert {s: r["n"] for s, r in rows.items()} == {"a": 51_500, "b": 1_500}
+    want = targets({s: r["size"] for s, r in rows.items()})
+    assert all(abs(r["taken"] - want[s]) <= 40 and abs(r["target"] - want[s]) < 1e-6 * want[s] for s, r in rows.items())
+    taken = take_copies(df, "doc_id", "text", "source")
+    assert taken.columns == df.columns
+    words = {r["source"]: r["w"] for r in taken.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("[^ ]+"))).alias("w")).collect()}
+    assert words == {s: r["taken"] for s, r in rows.items()}
+
+
 def check_pieces(rows, docs):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     pieces = defaultdict(list)
