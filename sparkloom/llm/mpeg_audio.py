@@ -2,11 +2,14 @@
 
 ``store_payload`` keeps bytes losslessly in the ancillary area of silent Layer III frames behind an
 ID3v2 tag and an ``Info`` table; ``probe_media`` reads any MPEG audio stream back: it skips tags,
-resynchronises on frame headers, parses Xing/Info/VBRI tables, verifies frame checksums and gives
-the exact duration (samples over rate) and the byte offset of every frame for seeking.
-
-Nulls and empty texts store 192 blanks. A stream without any frame has zero frames, an empty
-payload and duration 0. Frames whose checksum fails are counted, and their bytes still returned.
+resynchronises on frame headers, parses Xing/Info/VBRI tables, verifies the frame checksums of all
+layers and gives the exact duration (samples over rate) and the byte offset of every frame for seeking.
+
+Nulls and empty texts store 192 blanks; texts of any length are stored whole. A stream without any
+frame has zero frames, an empty payload, duration 0 and no offsets; a null stream counts as empty.
+Frames whose checksum fails are counted, and their bytes still returned. One row out per row in:
+rows that repeat an id, or have none, are stored and read like any other; an empty table gives no
+rows. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +42,11 @@ _HZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 800
 _SAMPLES = {(1, 1): 384, (1, 2): 1152, (1, 3): 1152, (2, 1): 384, (2, 2): 1152, (2, 3): 576}
 _SIDE = {(1, False): 32, (1, True): 17, (2, False): 17, (2, True): 9}
 
+#: Width in bits of the allocation of each subband in Layer II, as (subbands, bits) runs.
+_ALLOCATIONS = {
+    "a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "low": ((4, 4), (7, 3), (19, 2)),
+}
+
 #: The stored form: MPEG-1 Layer III, 48 kbit/s, 32 kHz, mono: 216 bytes a frame, of which 193 follow the side information.
 _HEADER = bytes((0xFF, 0xFA, 0x38, 0xC0))
 _TABLE_HEADER = bytes((0xFF, 0xFB, 0x38, 0xC0))
@@ -63,6 +71,42 @@ def frame_checksums(covered: np.ndarray) -> np.ndarray:
     return crc
 
 
+def _bit_checksum(bits: np.ndarray) -> int:
+    """CRC-16 of a run of bits that needn't fill whole bytes."""
+    crc = 0xFFFF
+    for bit in bits.tolist():
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ bit else 0)
+    return crc
+
+
+def _layer2_widths(head: Header, channels: int) -> list[int]:
+    """Bits of each subband's allocation: by rate and by bitrate a channel."""
+    if head.version != 3:
+        table = "low"
+    elif head.kbps // channels <= 48:
+        table = "d" if head.rate == 32000 else "c"
+    else:
+        table = "a" if head.rate == 48000 or head.kbps // channels <= 80 else "b"
+    return [bits for count, bits in _ALLOCATIONS[table] for _ in range(count)]
+
+
+def allocation_checksum(frame: np.ndarray, head: Header) -> int:
+    """CRC-16 that a Layer I or II frame should carry: header bytes 3 and 4, allocations, and scale factor selections (II)."""
+    mode, extension = int(frame[3]) >> 6, int(frame[3]) >> 4 & 3
+    channels = 1 if mode == 3 else 2
+    widths = [4] * 32 if head.layer == 1 else _layer2_widths(head, channels)
+    bound = min(len(widths), 4 * (extension + 1)) if mode == 1 else len(widths)
+    bits = np.unpackbits(frame[6 : 6 + 4 * 32])
+    at, selections = 0, 0
+    for band, width in enumerate(widths):
+        for _ in range(channels if band < bound else 1):
+            used = bits[at : at + width].any()
+            selections += int(used) * (1 if band < bound else channels)
+            at += width
+    at += 2 * selections if head.layer == 2 else 0
+    return _bit_checksum(np.concatenate([np.unpackbits(frame[2:4]), bits[:at]]))
+
+
 @dataclass(frozen=True)
 class Header:
     version: int
@@ -72,6 +116,7 @@ class Header:
     samples: int
     side: int
     protected: bool
+    kbps: int
 
     @property
     def kind(self) -> tuple[int, int, int]:
@@ -101,7 +146,7 @@ def _decode_header(four: bytes) -> Header | None:
     hz, bps, samples = _HZ[version][rate], _KBPS[lsf, layer][bitrate] * 1000, _SAMPLES[lsf, layer]
     length = (12 * bps // hz + padding) * 4 if layer == 1 else samples // 8 * bps // hz + padding
     side = _SIDE[lsf, four[3] >> 6 == 3] if layer == 3 else 0
-    return Header(version, layer, hz, length, samples, side, not four[1] & 1)
+    return Header(version, layer, hz, length, samples, side, not four[1] & 1, bps // 1000)
 
 
 @dataclass
@@ -148,7 +193,9 @@ def _vbr_table(frame: bytes, head: Header) -> dict[str, int] | None:
                 out["toc_crc"] = zlib.crc32(frame[pos : pos + 100])
             return out
     if frame[36:40] == b"VBRI":
-        return {"bytes": int.from_bytes(frame[46:50], "big"), "frames": int.from_bytes(frame[50:54], "big")}
+        number = lambda at, n=2: int.from_bytes(frame[at : at + n], "big")
+        entries, size = number(54), number(58)
+        return {"bytes": number(46, 4), "frames": number(50, 4), "frames_an_entry": number(60), "toc_crc": zlib.crc32(frame[62 : 62 + entries * size])}
     return None
 
 
@@ -187,6 +234,9 @@ def probe(data: bytes) -> Probe:
                     told = run[:, 4].astype(np.uint32) << 8 | run[:, 5]
                     out.checked += len(run)
                     out.failed += int((frame_checksums(covered) != told).sum())
+                elif head.protected:
+                    out.checked += len(run)
+                    out.failed += sum(allocation_checksum(f, head) != (int(f[4]) << 8 | int(f[5])) for f in run)
                 out.bodies.append(run[:, body:])
                 pos += head.length * len(run)
                 continue
@@ -285,7 +335,7 @@ def probe_media(df: DataFrame, id_col: str, media_col: str, n_bytes_col: str) ->
 
 
 def op4_mpeg_audio(documents: DataFrame) -> DataFrame:
-    """Every text of ``documents`` stored as MPEG audio, read back and digested.
+    """Every text of ``documents`` stored as MPEG audio, read back and digested, with its frames' seek offsets.
 
     One row per row of ``documents``, repeated ids included. Null texts count as empty; equal texts
     give equal values. ``tail_crc32`` is over the last 16 bytes of the payload read back.
@@ -298,5 +348,5 @@ def op4_mpeg_audio(documents: DataFrame) -> DataFrame:
     return back.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"),
-        "frames", "duration_us", "crc_failed",
+        "frames", "duration_us", "crc_failed", "seek_offsets",
     )

@@ -1,17 +1,21 @@
 """Round trips of media and packing, page rules, and the mix against its targets."""
 
+import functools
 import hashlib
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow.parquet as pq
+import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkloom.llm.html_text import extract_text, op5_block_rules_extraction
-from sparkloom.llm.mpeg_audio import encode, op4_mpeg_audio, pad_payload, probe, stored_bytes
-from sparkloom.llm.packing import op7_cutting_stock_packing
+from sparkloom.llm.mpeg_audio import allocation_checksum, encode, op4_mpeg_audio, pad_payload, probe, read_header, stored_bytes
+from sparkloom.llm.packing import cutting_patterns, op7_cutting_stock_packing, price_pattern
 from sparkloom.llm.pivotal_mix import mix_sources, op6_pivotal_mixing, take_copies
 
 ODD = [(1, None, None), (2, "", "a"), (3, "word", "a"), (3, "word", "a"), (4, "many words here " * 9000, "b"), (5, "Grüße 😀\x00 <|endoftext|>", None), (6, "zwei drei", "b")]
@@ -27,6 +31,8 @@ def test_media_round_trip(spark, small):
     assert len(rows) == len(texts)
     for r in rows:
         payload = pad_payload(texts[r["doc_id"]])
+        assert r["seek_offsets"] == probe(encode(payload)).offsets.tolist() and len(r["seek_offsets"]) == r["frames"] == len(payload) // 192
+        assert r["duration_us"] == r["frames"] * 36_000
         assert len(payload) % 192 == 0 and payload.rstrip(b" ") == texts[r["doc_id"]].rstrip(b" ")
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(texts[r["doc_id"]]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert r["crc_failed"] == 0 and r["media_sha256"] == hashlib.sha256(encode(payload)).hexdigest()
@@ -50,6 +56,55 @@ def test_media_odd_rows_and_broken_streams(spark):
     assert len(probe(b"").offsets) == 0 and probe(b"\xff" * 1000).samples == 0
 
 
+def _frame(head, rng):
+    """A frame of random allocations behind ``head``, with its checksum from the bits that the format names."""
+    body = bytearray(head) + b"\0\0" + bytes(rng.integers(0, 256, read_header(bytes(head)).length - 6, dtype=np.uint8))
+    crc = allocation_checksum(np.frombuffer(bytes(body), dtype=np.uint8), read_header(bytes(head)))
+    body[4], body[5] = crc >> 8, crc & 255
+    return bytes(body)
+
+
+@pytest.mark.parametrize(
+    "head, certain",
+    [
+        (b"\xff\xfe\x90\x00", 32), (b"\xff\xfe\x90\xc0", 16), (b"\xff\xfe\x90\x50", 20),  # Layer I: stereo, mono, joint from subband 8 on
+        (b"\xff\xfc\x84\x00", 22), (b"\xff\xfc\x24\xc0", 3), (b"\xff\xf4\x84\xc0", 9),  # Layer II: tables a and c, the low rates
+    ],
+)
+def test_media_checksums_of_other_layers(head, certain):
+    """A bit that the checksum covers for certain makes its frame fail, one beyond it doesn't."""
+    rng = np.random.default_rng(3)
+    frames = [_frame(head, rng) for _ in range(5)]
+    found = probe(b"".join(frames))
+    assert (len(found.offsets), found.checked, found.failed) == (5, 5, 0)
+    for at in (6, 6 + certain // 2, 5 + certain):
+        bad = bytearray(frames[2])
+        bad[at] ^= 1
+        assert probe(b"".join([*frames[:2], bytes(bad), *frames[3:]])).failed == 1
+    bad = bytearray(frames[2])
+    bad[-1] ^= 1
+    assert probe(b"".join([*frames[:2], bytes(bad), *frames[3:]])).failed == 0
+
+
+def test_media_vbr_tables():
+    media = encode(pad_payload(b"x" * 2000))
+    first = probe(media)
+    assert first.table["frames"] == 11 and first.table["bytes"] == 12 * 216
+    frames = media[first.offsets[0] :]
+    head = b"\xff\xfb\x38\xc0" + bytes(32) + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 12 * 216, 11, 3, 1, 2, 4) + struct.pack(">HHH", 864, 864, 648)
+    found = probe(head.ljust(216, b"\0") + frames)
+    assert (found.table["frames"], found.table["bytes"], found.table["frames_an_entry"]) == (11, 12 * 216, 4)
+    assert found.table["toc_crc"] == zlib.crc32(struct.pack(">HHH", 864, 864, 648)) and len(found.offsets) == 11
+    xing = b"\xff\xfb\x38\xc0" + bytes(17) + b"Xing" + struct.pack(">II", 1, 11)
+    assert probe(xing.ljust(216, b"\0") + frames).table == {"flags": 1, "frames": 11}
+
+
+def test_media_rows_nulls_and_clashes(spark):
+    df = spark.createDataFrame([(None, "x", b"a", 1), (None, "x", b"a", 1), (7, None, None, 2)], "doc_id long, text string, media binary, n long")
+    rows = op4_mpeg_audio(df).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["payload_bytes"]) for r in rows) == [(0, 1, 192), (0, 1, 192), (7, 0, 192)]
+
+
 def test_pages():
     page = (
         "<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><nav><a href=x>Home</a></nav><div class='cookie-notice'>We use cookies</div>"
@@ -198,6 +253,39 @@ def check_pieces(rows, docs):
     return sum(r["length"] for r in rows) / (2048 * len(sequences))
 
 
+@pytest.mark.parametrize("units", [1, 6, 9])
+def test_knapsack_against_enumeration(units):
+    rng = np.random.default_rng(units)
+    for _ in range(20):
+        values = rng.random(units) * np.arange(1, units + 1) * rng.integers(0, 2, units)
+        best = [0.0] * (units + 1)
+        for room in range(1, units + 1):
+            best[room] = max([best[room - 1], *(best[room - c] + values[c - 1] for c in range(1, room + 1))])
+        value, pattern = price_pattern(values, units)
+        assert abs(value - best[units]) < 1e-9 and abs(pattern @ values - value) < 1e-9 and pattern @ np.arange(1, units + 1) <= units
+
+
+@pytest.mark.parametrize("counts", [[0, 0, 4, 0, 2, 0, 0, 3], [5, 4, 3, 2, 1, 0], [0, 0, 7], [1, 0, 0, 0, 9, 1, 0, 0, 0, 2]])
+def test_patterns_against_the_fewest_bins(counts):
+    """Patterns hold every class exactly as often as asked, in one sequence more than the fewest possible at most."""
+    counts = np.array(counts)
+    units = len(counts)
+    patterns = cutting_patterns(counts)
+    assert (sum(n * p for n, p in patterns) == counts).all() and all(p @ np.arange(1, units + 1) <= units for _, p in patterns)
+
+    @functools.cache
+    def fewest(left, room):
+        if not any(left):
+            return 0
+        options = [1 + fewest(left, units)] if room < units else []
+        for c in range(units):
+            if left[c] and c + 1 <= room:
+                options.append(fewest(left[:c] + (left[c] - 1,) + left[c + 1 :], room - c - 1))
+        return min(options)
+
+    assert sum(n for n, _ in patterns) <= 1 + (1 + fewest(tuple(counts.tolist()), units))
+
+
 def test_packing_covers_every_token(spark, small):
     docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{small}/documents.parquet").to_pylist()]
     assert check_pieces(op7_cutting_stock_packing(spark.read.parquet(f"{small}/documents.parquet")).collect(), docs) > 0.97
