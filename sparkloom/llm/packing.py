@@ -6,8 +6,10 @@ over patterns of that histogram. Knapsack dynamic programming prices new columns
 rounded down, a first-fit pass over the few left-over counts completes it, and every piece finds
 its sequence from its rank among the pieces of its class.
 
-Null and empty texts are one end token. Rows that repeat a ``doc_id`` are packed row by row. Long
-texts are cut every ``capacity`` tokens. An empty table gives no rows.
+Null and empty texts are one end token. Rows that repeat a ``doc_id``, or have none, are packed row by
+row, and ranked in blocks dealt by row, so that a frequent id is no single task's work. Long texts are
+encoded whole and cut every ``capacity`` tokens; pieces of equal length are told apart by id and place
+alone. An empty table gives no rows. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -244,12 +246,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, class_width: int =
             taken[c] += times * pattern[c]
         first += times
     blocks = int(counts.sum()) // RANK_BLOCK + 1
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)))
+    # The pieces are written: the same rows get the same numbers whenever they are read.
+    dealt = pieces.withColumn("row", F.monotonically_increasing_id()).withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "row"), F.lit(blocks)))
     before = Window.partitionBy("class").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = dealt.groupBy("class", "block").agg(F.count(F.lit(1)).alias("n")).select(
         "class", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
     )
-    within = Window.partitionBy("class", "block").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    within = Window.partitionBy("class", "block").orderBy("doc_id", "start", "ids_crc32", "doc_tokens", "row")
     ranked = dealt.withColumn("rank", F.row_number().over(within) - 1).join(offsets, ["class", "block"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("base"))
     table = spark.createDataFrame(slots, "class int, lo long, hi long, copies long, first long")
