@@ -6,7 +6,9 @@ every dictionary, and the sizes are added up, so that long texts don't learn the
 Narrow margins set ``rejected``.
 
 Null texts and texts without a letter are ``und`` with score 0. With no training rows every text is
-``und``. Ties go to the language with most training rows, then by code point.
+``und``. Ties go to the language with most training rows, then by code point. Texts of any length are
+encoded whole. One row out per row in: rows that repeat an id, or have none, are judged like any other;
+an empty table gives no rows. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@ smallest id.
 Link: intersection / union of the sets >= threshold, on 64-bit shingle hashes. Sets that are empty
 (null texts, texts without a word) link with nothing. Rows that repeat an id are one document for
 the purpose of linking. Rows whose id is null link with nothing, have a null component and are kept.
+Texts of any length are read whole; an empty table gives no rows. Other columns are left out, whatever
+their names.
 """
 
 from __future__ import annotations
