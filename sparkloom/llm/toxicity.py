@@ -8,7 +8,10 @@ logistic model over their sum, maximum and density gives the document's score.
 
 Chains are sentences, cut after ``CHAIN`` words at most; every word of a text is in one chain. Null
 and empty texts have no spans and a score near zero. With no training rows, or labels of one kind
-only, every score is the share of toxic training rows (0 if there are none).
+only, every score is the share of toxic training rows (0 if there are none). Texts of any length are
+tagged whole. One row out per row in: rows that repeat an id, or have none, are scored like any other,
+ties of labels on one id count as toxic; an empty table gives no rows. Other columns are left out,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .language_id import fold
+from .storage import spare
 from .textkernel import chunks, mix64, span_hashes, word_spans
 
 CHAIN = 64
@@ -244,7 +248,7 @@ def score_documents(df: DataFrame, text_col: str, model: ToxicityModel, keep: li
                 kept = [c.slice(lo, n) for c in batch.columns[: len(keep)]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), pa.array(spans, pa.list_(span))], names=[*keep, "__score", "__spans"])
 
-    source = df.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    source = df.select(*keep, F.col(text_col).cast("string").alias(spare(df, "__text")[0]))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("__score", T.DoubleType())])
     struct = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])
     return source.mapInArrow(run, schema.add("__spans", T.ArrayType(struct)))
