@@ -2,14 +2,17 @@
 
 A structured random product code gives the filter directions: the rotated space is split into
 blocks, each block has its own random unit vectors, and a direction is one choice per block. List
-decoding finds, for every vector, all directions whose cap it lies in, without visiting the others.
-Vectors that share a cap are compared exactly, in double precision, cell by cell: crowded caps are
-dealt into pairs of small blocks, so that no task ever holds a whole group. Equal vectors are
-folded into one first, so groups of copies cost one comparison.
+decoding finds, for every vector, all directions whose cap it lies in, without visiting the others:
+all caps of a code have one height, at which a vector lies in ``CAPS`` of them on average. Vectors
+that share a cap are compared exactly, in double precision, cell by cell: crowded caps are dealt into
+pairs of small blocks, so that no task ever holds a whole group. Cells give counts and a tree of
+links, never all links of a dense group; a pair counts in the first cap it shares alone. Equal
+vectors are folded into one first, so groups of copies cost one comparison.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and
 only vectors of one dimension are compared. Rows that repeat an id are one vector for linking. Rows
-whose id is null link with nothing, have a null component and are kept.
+whose id is null link with nothing, have a null component and are kept. An empty table gives no
+rows. Other columns, labels among them, are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .storage import cut
 
-#: Codes of two blocks, and the best caps of each that a vector is kept in; see ``code_draws`` for more blocks.
+#: Codes of two blocks, and how many caps of each a vector lies in on average; see ``code_draws`` for more blocks.
 DRAWS, CAPS = 2, 20
+#: A vector in fewer caps than this gets lower ones of its own, so that none is left out.
+LEAST_CAPS = 10
 MAX_BLOCK_CODES = 4096
 CELL = 512
-_CODE_SEED = 20_250_101
+_CODE_SEED, _TRIAL = 20_250_101, 400
 
 
 class ProductCode:
@@ -43,6 +48,7 @@ class ProductCode:
         for lo, hi in zip(self.cuts[:-1], self.cuts[1:]):
             c = rng.standard_normal((hi - lo, codes))
             self.codes.append(c / np.linalg.norm(c, axis=0) * math.sqrt((hi - lo) / dim))
+        self._heights: dict[float, float] = {}
 
     def _above(self, scores: list[np.ndarray], best: list[np.ndarray], rows: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, score, direction) of all directions of ``rows`` that score ``least`` or more; partial sums that can't are dropped."""
@@ -58,31 +64,45 @@ class ProductCode:
                 found[0].append(at[i])
                 found[1].append(total[i, j])
                 found[2].append(name[lo : lo + 256][i] * s.shape[1] + j)
+            if not found[0]:
+                return rows[:0], partial[:0], name[:0]
             rows, partial, name = (np.concatenate(f) for f in found)
         return rows, partial, name
 
-    def decode(self, vectors: np.ndarray, caps: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, direction) of the caps that each row of unit ``vectors`` lies in.
+    def _scores(self, vectors: np.ndarray) -> list[np.ndarray]:
+        turned = vectors @ self.rotation
+        return [turned[:, lo:hi] @ c for lo, hi, c in zip(self.cuts[:-1], self.cuts[1:], self.codes)]
+
+    def height(self, caps: float) -> float:
+        """The score at which random vectors lie in ``caps`` caps on average: measured on ``_TRIAL`` of them.
 
-        The caps of a vector are as wide as it takes to lie in ``caps`` of them, so that no vector
-        is left out and close vectors have close widths.
+        Directions are random, so the mean is that of any data.
         """
-        turned = vectors @ self.rotation
-        scores = [turned[:, lo:hi] @ c for lo, hi, c in zip(self.cuts[:-1], self.cuts[1:], self.codes)]
+        if caps not in self._heights:
+            trial = np.random.default_rng([_CODE_SEED, self.rotation.shape[0]]).standard_normal((_TRIAL, self.rotation.shape[0]))
+            scores = self._scores(trial / np.linalg.norm(trial, axis=1, keepdims=True))
+            best, rows = [s.max(axis=1) for s in scores], np.arange(_TRIAL)
+            wanted = int(min(caps, math.prod(s.shape[1] for s in scores)) * _TRIAL)
+            bound = float(np.mean(sum(best)))
+            while len(found := self._above(scores, best, rows, np.full(_TRIAL, bound))[1]) < wanted:
+                bound -= 0.02 * max(abs(bound), 0.05)
+            self._heights[caps] = float(np.partition(found, len(found) - wanted)[len(found) - wanted])
+        return self._heights[caps]
+
+    def decode(self, vectors: np.ndarray, caps: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, direction) of all caps that each row of unit ``vectors`` lies in."""
+        scores = self._scores(vectors)
         best = [s.max(axis=1) for s in scores]
-        top = sum(best)
-        wanted = min(caps, math.prod(s.shape[1] for s in scores))
-        rows, share, out = np.arange(len(vectors)), 0.85, ([], [])
+        least = min(LEAST_CAPS, math.prod(s.shape[1] for s in scores))
+        rows, bound, out = np.arange(len(vectors)), np.full(len(vectors), self.height(caps)), ([], [])
         while len(rows):
-            at, score, name = self._above(scores, best, rows, top[rows] - (1 - share) * np.abs(top[rows]))
-            enough = np.bincount(at, minlength=len(vectors))[at] >= wanted
-            at, score, name = at[enough], score[enough], name[enough]
-            order = np.lexsort((name, -score, at))
-            at, name = at[order], name[order]
-            place = np.arange(len(at)) - np.searchsorted(at, at)
-            out[0].append(at[place < wanted])
-            out[1].append(name[place < wanted])
-            rows, share = np.setdiff1d(rows, at), share - 0.1
+            at, _, name = self._above(scores, best, rows, bound[rows])
+            counts = np.bincount(at, minlength=len(vectors))
+            enough = counts[at] >= least
+            out[0].append(at[enough])
+            out[1].append(name[enough])
+            rows = rows[counts[rows] < least]
+            bound[rows] -= 0.02 * np.maximum(np.abs(bound[rows]), 0.05)
         return (np.concatenate(out[0]), np.concatenate(out[1])) if out[0] else (np.zeros(0, dtype=np.int64),) * 2
 
 
@@ -97,7 +117,12 @@ def code_shape(vectors: int) -> tuple[int, int]:
 
 def code_draws(blocks: int) -> int:
     """Codes to draw: with more blocks a single code misses more of the close pairs, and more codes make up for it."""
-    return DRAWS * (blocks - 1)
+    return DRAWS * (2 * blocks - 3)
+
+
+def cap_name(space, bucket):
+    """One number for a cap of a space: caps of a vector are ordered by it."""
+    return (np.int64(space) << np.int64(48)) + bucket
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
@@ -133,52 +158,95 @@ def cap_members(vectors: DataFrame, shape: tuple[int, int], caps: int) -> DataFr
     return vectors.select("id", "v").mapInArrow(run, "space int, bucket long, id long")
 
 
+def first_shared(caps: list[np.ndarray], here: int, pairs: np.ndarray) -> np.ndarray:
+    """Of ``pairs`` (rows by rows) those that share no cap named below ``here``; ``caps`` are each row's names."""
+    rows = np.flatnonzero(pairs.any(axis=0) | pairs.any(axis=1))
+    below = [caps[r][caps[r] < here] for r in rows.tolist()]
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in below])
+    names, at, times = np.unique(np.concatenate(below) if below else np.zeros(0, dtype=np.int64), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    out, part = pairs.copy(), np.ix_(rows, rows)
+    for lo in range(0, len(shared), 4096):
+        column = np.full(len(names), -1)
+        column[shared[lo : lo + 4096]] = np.arange(len(shared[lo : lo + 4096]))
+        member = np.zeros((len(rows), len(shared[lo : lo + 4096])), dtype=np.float32)
+        seen = column[at] >= 0
+        member[owner[seen], column[at][seen]] = 1
+        out[part] &= member @ member.T == 0
+    return out
+
+
+def spanning_labels(linked: np.ndarray) -> np.ndarray:
+    """The smallest row that each row of a symmetric link matrix reaches."""
+    labels = np.arange(len(linked))
+    while True:
+        lower = np.minimum(labels, np.where(linked, labels[None, :], len(linked)).min(axis=1))
+        lower = lower[lower]
+        if (lower == labels).all():
+            return labels
+        labels = lower
+
+
 def _cell_links(cells: DataFrame, cosine: float) -> DataFrame:
-    """Links (a, b) found in sorted cells (space, bucket, i, j, block, id, v); a pair may recur in other cells."""
+    """Links found in sorted cells (space, bucket, i, j, block, id, copies, caps, v).
 
-    def compare(ids: np.ndarray, block: np.ndarray, i: int, j: int, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if i == j:
-            x, y = np.nonzero(np.triu(unit @ unit.T >= cosine, 1))
-            return ids[x], ids[y]
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        x, y = np.nonzero(unit[left] @ unit[right].T >= cosine)
-        return ids[left][x], ids[right][y]
+    Rows (a, null, n): vector a has n links (copies of the other end counted) that no earlier cap of
+    both has found; rows (a, b, 0): a and b are connected.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
-        def done(table: pa.Table) -> pa.RecordBatch:
-            keys = np.stack([table.column(c).to_numpy() for c in ("space", "bucket", "i", "j")])
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            space, bucket, i, j = (table.column(c).to_numpy() for c in ("space", "bucket", "i", "j"))
+            keys = np.stack([space, bucket, i, j])
             first = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
             ends = np.append(first[1:], table.num_rows)
-            ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
-            v = table.column("v").combine_chunks()
-            found = [], []
+            ids, block, copies = (table.column(c).to_numpy() for c in ("id", "block", "copies"))
+            v, lists = table.column("v").combine_chunks(), table.column("caps").combine_chunks()
+            found = [], [], []
             for lo, hi in zip(first.tolist(), ends.tolist()):
-                if hi - lo > 1:
-                    x, y = compare(ids[lo:hi], block[lo:hi], int(keys[2, lo]), int(keys[3, lo]), unit_rows(v.slice(lo, hi - lo)))
-                    found[0].append(np.minimum(x, y))
-                    found[1].append(np.maximum(x, y))
-            a, b = (np.concatenate(f) if f else np.zeros(0, dtype=np.int64) for f in found)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                if hi - lo < 2:
+                    continue
+                unit = unit_rows(v.slice(lo, hi - lo))
+                linked = unit @ unit.T >= cosine
+                np.fill_diagonal(linked, False)
+                if i[lo] != j[lo]:
+                    linked &= block[lo:hi, None] != block[None, lo:hi]
+                if not linked.any():
+                    continue
+                labels = spanning_labels(linked)
+                edge = np.flatnonzero(labels != np.arange(hi - lo))
+                found[0].append(ids[lo:hi][labels[edge]])
+                found[1].append(ids[lo:hi][edge])
+                found[2].append(np.zeros(len(edge), dtype=np.int64))
+                caps = [lists[k].values.to_numpy() for k in range(lo, hi)]
+                count = first_shared(caps, int(cap_name(space[lo], bucket[lo])), linked) @ copies[lo:hi]
+                some = np.flatnonzero(count)
+                found[0].append(ids[lo:hi][some])
+                found[1].append(np.full(len(some), -1))
+                found[2].append(count[some])
+            a, b, n = (np.concatenate(f) if f else np.zeros(0, dtype=np.int64) for f in found)
+            counts = np.concatenate([np.full(len(f), k % 2 == 1) for k, f in enumerate(found[1])]) if found[1] else np.zeros(0, dtype=bool)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64(), mask=counts), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             table = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, table]) if held is not None else table
-            last = tuple(held.column(c)[-1].as_py() for c in ("space", "bucket", "i", "j"))
             keys = np.stack([held.column(c).to_numpy() for c in ("space", "bucket", "i", "j")])
-            same = (keys == np.array(last)[:, None]).all(axis=0)
-            open_from = held.num_rows if not len(same) else int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if open_from:
-                yield done(held.slice(0, open_from))
-                held = held.slice(open_from)
+            other = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
+            if len(other):
+                yield from done(held.slice(0, int(other[-1]) + 1))
+                held = held.slice(int(other[-1]) + 1)
         if held is not None and held.num_rows:
-            yield done(held)
+            yield from done(held)
 
-    return cells.mapInArrow(run, "a long, b long")
+    return cells.mapInArrow(run, "a long, b long, n long")
 
 
-def embedding_near_duplicates(df: DataFrame, id_col: str, vector_col: str, cosine: float = 0.95, caps: int = CAPS) -> DataFrame:
+def embedding_near_duplicates(df: DataFrame, id_col: str, vector_col: str, cosine: float = 0.95, caps: float = CAPS) -> DataFrame:
     """(id, n_links, component_id, kept) for every row of ``df``; linked from ``cosine`` on."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -191,17 +259,21 @@ def embedding_near_duplicates(df: DataFrame, id_col: str, vector_col: str, cosin
     vectors = groups.select(F.col("key").alias("id"), "v")
     members = cut(cap_members(vectors, shape, caps))
     sizes = members.groupBy("space", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = cut(members.join(sizes, ["space", "bucket"]))
+    # A vector's caps that others lie in too: a few dozen.
+    lists = met.groupBy("id").agg(F.collect_list(F.shiftleft(F.col("space").cast("long"), 48) + F.col("bucket")).alias("caps"))
     blocks = F.ceil(F.col("n") / CELL).cast("int")
-    dealt = members.join(sizes, ["space", "bucket"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "space", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id"
     )
-    cells = dealt.join(vectors, "id").select("space", "bucket", "i", "j", "block", "id", "v")
-    cells = cells.repartition("space", "bucket", "i", "j").sortWithinPartitions("space", "bucket", "i", "j")
-    links = cut(_cell_links(cells, cosine).distinct())
-    ends = groups.select("key", F.col("rep"), F.col("copies"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    counted = both.join(ends.select(F.col("key").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
+    known = groups.select(F.col("key").alias("id"), "copies", "v").join(lists, "id")
+    cells = dealt.join(known, "id").select("space", "bucket", "i", "j", "block", "id", "copies", "caps", "v")
+    cells = cells.repartition("space", "bucket", "i", "j").sortWithinPartitions("space", "bucket", "i", "j", "id")
+    found = cut(_cell_links(cells, cosine))
+    counted = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("others"))
+    links = found.where("b is not null").select("a", "b").distinct()
+    ends = groups.select("key", "rep")
     edges = (
         links.join(ends.select(F.col("key").alias("a"), F.col("rep").alias("x")), "a")
         .join(ends.select(F.col("key").alias("b"), F.col("rep").alias("y")), "b")
@@ -209,7 +281,7 @@ def embedding_near_duplicates(df: DataFrame, id_col: str, vector_col: str, cosin
         .unionByName(same.where("id <> rep").select(F.col("rep").alias("x"), F.col("id").alias("y")))
     )
     labels = connected_components(edges, "x", "y")
-    own = same.join(counted.withColumnRenamed("a", "key"), "key", "left").groupBy("id").agg(F.sum(F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    own = same.join(counted, "key", "left").groupBy("id").agg(F.sum(F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     out = rows.select("id").join(own, "id", "left").join(labels, "id", "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
