@@ -8,17 +8,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, RRF_K = 1.5, 0.75, 60
-QUERY_BLOCK = 4096
+#: Rows of queries and of vectors that one comparison holds.
+QUERY_BLOCK, VECTOR_PART = 4096, 20_000
 
 
-def bm25_scores(queries: DataFrame, postings: DataFrame, documents: int, mean_length: float, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, score). queries: (query_id, term) distinct; postings: (doc_id, term, tf, length)."""
-    used = postings.join(queries.select("term").distinct(), "term", "left_semi")
-    frequency = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(documents) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean_length)))
-    weighted = used.join(frequency, "term").select("term", "doc_id", (idf * weight).alias("w"))
-    return queries.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+def lexical_scores(documents: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, score, overlap) of every document that shares a term with a query.
+
+    documents: (doc_id, terms array); queries: (query_id, term) distinct. ``score`` is BM25,
+    ``overlap`` the number of shared terms over the root of the document's length. Only terms that
+    queries have leave the scan; one shuffle brings a document's together, and what follows
+    (frequencies, weights, sums) stays in its partition where the query side is small enough for
+    Spark to broadcast. Document frequencies come from the same shuffle.
+    """
+    held = documents.where(F.size("terms") > 0).select("doc_id", "terms", F.size("terms").alias("length"))
+    stats = held.agg(F.count(F.lit(1)).alias("documents"), F.avg("length").alias("mean"))  # one row
+    asked = queries.select("term").distinct()
+    found = held.select("doc_id", "length", F.explode("terms").alias("term")).join(asked, "term", "left_semi").repartition("doc_id")
+    counted = found.groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    frequency = counted.groupBy("term").agg(F.count("length").alias("df")).join(F.broadcast(stats))
+    idf = F.log(1 + (F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    terms = queries.join(frequency.select("term", idf.alias("idf"), "mean"), "term")
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    shared = F.round(F.count(F.lit(1)) / F.sqrt(F.max("length")), 6)
+    return counted.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"), shared.alias("overlap"))
+
+
+def ranked_lists(scores: DataFrame, columns: list[str], limit: int, buckets: int = 64) -> DataFrame:
+    """(query_id, doc_id, a rank per column) of rows among the first ``limit`` of their query in some column; ranks beyond are null.
+
+    Documents of a query compete within buckets first, so that a query with very many of them is no single task's work.
+    """
+    order = {c: [F.col(c).desc(), F.col("doc_id")] for c in columns}
+
+    def keep(df: DataFrame, group: list[str]) -> DataFrame:
+        for c in columns:
+            df = df.withColumn(f"{c}_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order[c])).cast("long"))
+        return df.where(F.least(*[f"{c}_rank" for c in columns], F.lit(limit + 1)) <= limit)
+
+    first = keep(scores.withColumn("__bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))), ["query_id", "__bucket"]).drop("__bucket", *[f"{c}_rank" for c in columns])
+    final = keep(first, ["query_id"])
+    return final.select("query_id", "doc_id", *[F.when(F.col(f"{c}_rank") <= limit, F.col(f"{c}_rank")).alias(f"{c}_rank") for c in columns])
+
+
+def fuse_ranks(lists: DataFrame, columns: list[str], k: int = RRF_K) -> DataFrame:
+    """Reciprocal rank fusion of the rank columns of ``ranked_lists``: (query_id, doc_id, score)."""
+    total = F.lit(0.0)
+    for c in columns:
+        total = total + F.coalesce(1.0 / (k + F.col(f"{c}_rank")), F.lit(0.0))
+    return lists.select("query_id", "doc_id", F.round(total, 6).alias("score"))
 
 
 def rank_by(df: DataFrame, group: list[str], order: list[Column], limit: int | None = None, name: str = "rank") -> DataFrame:
@@ -44,78 +82,95 @@ def first_per_key(df: DataFrame, group: list[str], key: Column, order: list[Colu
 def dedup_two_keys(df: DataFrame, group: list[str], id_col: str, text_col: str, position: str) -> DataFrame:
     """Rows in order, without those whose id or text a kept row has; a row left out registers neither.
 
-    The rule is sequential, so each group (a query's candidates, a few hundred) is one Arrow group.
+    The rule is sequential. A group's rows pass in order, in batches of bounded size; only the keys
+    that its kept rows have registered are held.
     """
-    import pandas as pd
+    import pyarrow as pa
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, texts, keep = set(), set(), []
-        for i, t in zip(rows.sort_values(position)[id_col], rows.sort_values(position)[text_col]):
-            fresh = i not in ids and t not in texts
-            if fresh:
-                ids.add(i)
-                texts.add(t)
-            keep.append(fresh)
-        return rows.sort_values(position)[keep]
+    names = df.columns
 
-    return df.groupBy(*group).applyInPandas(walk, df.schema)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, texts = None, set(), set()
+        for batch in batches:
+            keep = []
+            for *key, i, t in zip(*[batch.column(c).to_pylist() for c in [*group, id_col, text_col]]):
+                if key != last:
+                    last, ids, texts = key, set(), set()
+                fresh = i not in ids and t not in texts
+                if fresh:
+                    ids.add(i)
+                    texts.add(t)
+                keep.append(fresh)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return df.repartition(*group).sortWithinPartitions(*group, position).select(*names).mapInArrow(walk, df.schema)
 
 
 def diversify(df: DataFrame, group: list[str], source: str, position: str, per_source: int, limit: int) -> DataFrame:
-    """At most ``per_source`` of a source first, the overflow after, then the limit; adds ``place``."""
+    """At most ``per_source`` of a source first, the overflow after, then the limit; adds ``place``.
+
+    No more than ``limit`` rows of a source can be among the first ``limit``: each source is cut to
+    these before the sources of a group come together.
+    """
     own = F.row_number().over(Window.partitionBy(*group, source).orderBy(position))
-    over = df.withColumn("__over", own > per_source)
-    return rank_by(over, group, [F.col("__over"), F.col(position)], limit, "place").drop("__over")
+    cut = df.withColumn("__own", own).where(F.col("__own") <= max(per_source, limit))
+    return rank_by(cut.withColumn("__over", F.col("__own") > per_source), group, [F.col("__over"), F.col(position)], limit, "place").drop("__over", "__own")
 
 
 def rerank_tolerantly(df: DataFrame, group: list[str], position: str, verdict: str, top_n: int) -> DataFrame:
     """Accepted rows (a verdict) by score and position, ``top_n`` at most, then the rest in order; nothing accepted: unchanged."""
-    score = F.col(verdict).try_cast("double")
-    ranked = df.withColumn("__s", score).withColumn("__a", F.row_number().over(Window.partitionBy(*group).orderBy(F.col("__s").desc_nulls_last(), position)))
-    accepted = F.col("__s").isNotNull() & (F.col("__a") <= top_n)
-    order = [F.when(accepted, 0).otherwise(1), F.when(accepted, -F.col("__s")).otherwise(0.0), F.col(position)]
-    kept = ranked.where(F.col("__s").isNull() | accepted)
-    return rank_by(kept, group, order, None, "place").drop("__s", "__a")
+    scored = df.withColumn("__s", F.col(verdict).try_cast("double"))
+    accepted = rank_by(scored.where("__s is not null"), group, [F.col("__s").desc(), F.col(position)], top_n, "place")
+    most = accepted.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
+    rest = scored.where("__s is null").withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(position)).cast("long"))
+    moved = rest.join(most, group, "left").withColumn("place", F.col("place") + F.coalesce("__n", F.lit(0))).drop("__n")
+    return accepted.unionByName(moved.select(*accepted.columns)).drop("__s")
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, label: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, label: bool = False, block: int = QUERY_BLOCK, part: int = VECTOR_PART) -> DataFrame:
     """(query_id, vec_id, rank, score): the nearest ``k`` of (vec_id, v[, label]) by cosine, in double precision.
 
-    Queries go round in blocks of bounded size; every partition of vectors keeps its own best ``k``
-    of a block, so only ``k`` rows a query and partition are shuffled. With ``label``, queries and
-    vectors meet within their label only. A query never finds itself.
+    Queries are dealt into blocks and vectors into parts; every part meets every block, as a task
+    each: the rows of a part and block come together by a shuffle and are compared in numpy, and only
+    the ``k`` best of a query and part go on. Nothing passes the driver. With ``label``, queries and
+    vectors meet within their label only. A query never finds itself; null vectors find nothing.
     """
     import numpy as np
-    import pyarrow as pa
+    import pandas as pd
 
-    spark = queries.sparkSession
-    columns = ["query_id", "v", *(["label"] if label else [])]
-    rows = queries.select(*columns)
-    blocks, found = max(1, -(-rows.count() // block)), None
-    for number in range(blocks):
-        held = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).orderBy("query_id").toPandas()  # about a block
-        holder = spark.sparkContext.broadcast((held["query_id"].to_numpy(), np.array(held["v"].tolist(), dtype=float), held["label"].to_numpy() if label else None))
-
-        def best(batches: Iterator[pa.RecordBatch], holder=holder) -> Iterator[pa.RecordBatch]:
-            ids, q, labels = holder.value
-            if len(ids):
-                q = q / np.linalg.norm(q, axis=1, keepdims=True)
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                v = np.array(batch.column(1).to_pylist(), dtype=float)
-                score = q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-                own = batch.column(0).to_numpy()
-                score[ids[:, None] == own[None, :]] = -np.inf
-                if labels is not None:
-                    score[labels[:, None] != batch.column(2).to_numpy()[None, :]] = -np.inf
-                n = min(k, score.shape[1])
-                top = np.argsort(-np.round(score, 6), axis=1, kind="stable")[:, :n]
+    columns = ["id", "v", *(["label"] if label else [])]
+    fresh = [F.col(c).alias(c) for c in columns[1:]]  # queries may come from the vectors' own table
+    asked = queries.where("v is not null").select(F.col("query_id").alias("id"), *fresh)
+    held = vectors.where("v is not null").select(F.col("vec_id").alias("id"), *fresh)
+
+    def pieces(df: DataFrame, rows: int, name: str) -> DataFrame:
+        return df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.lit(1)).cast("int").alias(name))
+
+    counts = pieces(asked, block, "blocks").join(pieces(held, part, "parts"))  # one row
+    dealt = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    q = asked.join(F.broadcast(counts)).withColumn("block", dealt("blocks")).withColumn("part", every("parts")).select("block", "part", *columns)
+    own = held.join(F.broadcast(counts)).withColumn("part", dealt("parts")).withColumn("block", every("blocks")).select("block", "part", *columns)
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            x, y = (np.array(side["v"].tolist(), dtype=float) for side in (left, right))
+            x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+            ids, theirs = left["id"].to_numpy(), right["id"].to_numpy()
+            order = np.argsort(theirs, kind="stable")
+            theirs, y = theirs[order], y[order]
+            marks = right["label"].to_numpy()[order] if label else None
+            for lo in range(0, len(ids), 512):
+                score = np.round(x[lo : lo + 512] @ y.T, 6)
+                score[ids[lo : lo + 512, None] == theirs[None, :]] = -np.inf
+                if label:
+                    score[left["label"].to_numpy()[lo : lo + 512, None] != marks[None, :]] = -np.inf
+                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 kept = np.take_along_axis(score, top, axis=1)
                 at, place = np.nonzero(np.isfinite(kept))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(own[top[at, place]]), pa.array(np.round(kept[at, place], 6))], names=["query_id", "vec_id", "score"])
+                out.append(pd.DataFrame({"query_id": ids[lo + at], "vec_id": theirs[top[at, place]], "score": kept[at, place]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
-        source = vectors.select("vec_id", "v", *(["label"] if label else [])).where("v is not null").sortWithinPartitions("vec_id")
-        part = source.mapInArrow(best, "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
+    found = q.groupBy("block", "part").cogroup(own.groupBy("block", "part")).applyInPandas(best, "query_id long, vec_id long, score double")
     return rank_by(found, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k).select("query_id", "vec_id", "rank", "score")

@@ -15,10 +15,13 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
 _TERMS = f"list_filter(regexp_extract_all(translate(lower({{}}), '{X.ACCENTED}', '{X.PLAIN}'), '[a-z]{{{{4,}}}}'), lambda t: not list_contains({_STOP}, t))"
 
 
-def _terms(column: str) -> str:
+def terms_sql(column: str) -> str:
     return _TERMS.format(column)
 
 
+_terms = terms_sql
+
+
 _BM25 = f"""
 terms as (select doc_id, unnest({_terms('text')}) as term from documents),
 tf as (select doc_id, term, count(*) as tf from terms group by 1, 2),
@@ -34,37 +37,26 @@ overlap as (select * from (select query_id, doc_id, row_number() over (partition
 """
 
 
-def _postings(t):
-    """(doc_id, term, tf, length), the number of documents with terms and their mean length."""
-    terms = t("documents").select("doc_id", X.content_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
-    lengths = terms.select("doc_id", F.size("terms").alias("length"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
-    counted = terms.select("doc_id", F.explode("terms").alias("term"), F.size("terms").alias("length")).groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
-    return counted, stats["n"], stats["mean"] or 1.0
-
-
 def _query_terms(t):
     return t("benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(X.content_terms(F.col("text")))).alias("term")).distinct()
 
 
-def _bm25(t, postings, n, mean):
-    return R.rank_by(R.bm25_scores(_query_terms(t), postings, n, mean), ["query_id"], [F.col("score").desc(), F.col("doc_id")], 80)
+def _scores(t):
+    return R.lexical_scores(t("documents").select("doc_id", X.content_terms(F.col("text")).alias("terms")), _query_terms(t))
 
 
-def _overlap(t, postings):
-    found = _query_terms(t).join(postings, "term").groupBy("query_id", "doc_id").agg(F.round(F.count(F.lit(1)) / F.sqrt(F.max("length")), 6).alias("score"))
-    return R.rank_by(found, ["query_id"], [F.col("score").desc(), F.col("doc_id")], 80)
+def _fused(t):
+    return R.fuse_ranks(R.ranked_lists(_scores(t), ["score", "overlap"], 80), ["score", "overlap"])
 
 
 @book.add(f"with {_BM25} select query_id, doc_id, rank, score from bm25")
 def bm25_topk(t):
-    return _bm25(t, *_postings(t)).select("query_id", "doc_id", "rank", "score")
+    return R.rank_by(_scores(t), ["query_id"], [F.col("score").desc(), F.col("doc_id")], 80).select("query_id", "doc_id", "rank", "score")
 
 
 @book.add(f"with {_BM25}, both_lists as (select query_id, doc_id, rank from bm25 union all select query_id, doc_id, rank from overlap) select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 6) as score from both_lists group by 1, 2")
 def rrf_fusion(t):
-    postings, n, mean = _postings(t)
-    return R.fuse([_bm25(t, postings, n, mean), _overlap(t, postings)])
+    return _fused(t)
 
 
 @book.add(f"""
@@ -81,13 +73,14 @@ select query_id, doc_id, place, score, source, support from final join support u
 """.replace("\\\\s", "\\s"))
 def hybrid_search(t):
     """Two ranked lists fused, passages alike left out, sources capped, and how much of the query the result covers."""
-    postings, n, mean = _postings(t)
-    fused = R.fuse([_bm25(t, postings, n, mean), _overlap(t, postings)])
-    shown = fused.join(t("documents").select("doc_id", "source", "text"), "doc_id").withColumn("key", X.text_key(F.col("text")))
+    docs = t("documents")
+    shown = _fused(t).join(docs.select("doc_id", "source", X.text_key(F.col("text")).alias("key")), "doc_id")
     firsts = R.first_per_key(shown, ["query_id"], F.col("key"), [F.col("score").desc(), F.col("doc_id")])
     placed = R.rank_by(firsts, ["query_id"], [F.col("score").desc(), F.col("doc_id")], None, "pos")
     final = R.diversify(placed, ["query_id"], "source", "pos", 2, 5)
-    known = final.select("query_id", F.explode(X.content_terms(F.col("text"))).alias("term")).distinct().withColumn("k", F.lit(1))
+    # A second look at the few documents of the result, instead of texts that pass all the steps before.
+    known = docs.select("doc_id", "text").join(final.select("query_id", "doc_id"), "doc_id").select("query_id", F.explode(X.content_terms(F.col("text"))).alias("term")).distinct()
+    known = known.withColumn("k", F.lit(1))
     support = _query_terms(t).join(known, ["query_id", "term"], "left").groupBy("query_id").agg(F.bround(F.count("k") / F.count(F.lit(1)), 3).alias("support"))
     return final.join(support, "query_id").select("query_id", "doc_id", "place", "score", "source", "support")
 
