@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from sparkloom.functions.text import contains_word, fold
 # Phrases that mark a refusal, for evaluation and for the quality gate.
 REFUSALS_EVALUATION = ("nao consta", "nao encontrei", "nao ha dados", "nao ha informacoes", "nao foi possivel", "nao esta disponivel", "nao foram encontrados", "nao possuo", "fora do escopo", "sem dados")
 REFUSALS_GATE = ("nao consta", "nao ha informacoes suficientes", "nao foi possivel")
+# How a question asks for a whole series, and for sources.
 COVERAGE = r"(todos|todas|cada|completa|inteira|integral)\b.*\b(ano|anos|mes|meses|trimestre|trimestres|periodo|serie)|\b(serie|periodo|anos?|meses)\b.*\b(completa|completo|inteira|inteiro|todos|todas)\b"
 SOURCE_QUESTIONS = r"\b(quais|qual|que)\b.*\bfontes?\b|\bde onde\b|\breferencias?\b|\bcite\b"
 #: Strategy dimension: (key, question types, retrieval kinds, complexities, priority); small and fixed.
@@ -75,16 +78,12 @@ def route_scores(questions: DataFrame) -> DataFrame:
     return ranked.withColumn("confidence_out", F.bround(0.6 * F.col("confidence") + 0.4 * F.least(F.col("margin") / 3, F.lit(1.0)), 3)).drop("s", "pos")
 
 
-def match_skills(questions: DataFrame, id_col: str, text_col: str, keywords: DataFrame, limit: int = 2) -> DataFrame:
+def match_skills(questions: DataFrame, id_col: str, text_col: str, keywords: Sequence[tuple[str, int, str]], limit: int = 2) -> DataFrame:
     """(id, domain, score, place): domains by whole-word keyword hits, each worth its words; best ``limit``.
 
-    keywords: (domain, priority, keyword), a small configuration table of checked size, gathered
-    into one array that each question looks through.
+    ``keywords`` are (domain, priority, keyword) of a configuration: a short list that each question looks through.
     """
-    table = keywords.agg(F.collect_list(F.struct("domain", "priority", "keyword")).alias("k")).first()["k"]
-    if len(table) > 10_000:
-        raise ValueError("keyword tables hold 10,000 entries at most")
-    entries = F.array(*[F.struct(F.lit(r["domain"]).alias("domain"), F.lit(r["priority"]).alias("priority"), F.lit(r["keyword"]).alias("keyword")) for r in table])
+    entries = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(p).alias("priority"), F.lit(w).alias("keyword")) for d, p, w in keywords])
     hits = F.filter(entries, lambda e: contains_word(F.col(text_col), e["keyword"]))
     found = questions.select(id_col, F.explode(hits).alias("h"))
     words = 1 + F.length("h.keyword") - F.length(F.replace(F.col("h.keyword"), F.lit(" "), F.lit("")))

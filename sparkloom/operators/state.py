@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 def sessions(events: DataFrame, key: str, ts: str, ttl_seconds: int) -> DataFrame:
     """Adds ``session``: a new one begins when a key was silent for ``ttl_seconds`` or longer."""
     order = Window.partitionBy(key).orderBy(ts, "event_id")
-    micros = F.unix_micros(ts)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     fresh = F.coalesce((micros - F.lag(micros).over(order) >= ttl_seconds * 1_000_000).cast("int"), F.lit(0))
     return events.withColumn("__fresh", fresh).withColumn("session", F.sum("__fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__fresh")
 
 
 def window_counts(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
     """Adds ``in_window``: events of the key in the ``seconds`` up to and including each event."""
-    micros = F.unix_micros(ts)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     frame = Window.partitionBy(key).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("in_window", F.count(F.lit(1)).over(frame))
 
@@ -30,7 +30,7 @@ def admit(events: DataFrame, key: str, ts: str, limit: int, seconds: int) -> Dat
     import pandas as pd
 
     order = Window.partitionBy(key).orderBy(ts, "event_id")
-    micros = F.unix_micros(ts)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     gap = F.coalesce((micros - F.lag(micros).over(order) > seconds * 1_000_000).cast("int"), F.lit(0))
     cut = events.withColumn("__m", micros).withColumn("__gap", gap).withColumn("__run", F.sum("__gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     schema = events.schema.simpleString()[len("struct<") : -1] + ",admitted:boolean"

@@ -22,16 +22,36 @@ def wilson(successes: Column, n: Column, z: float = Z95) -> tuple[Column, Column
     return middle - half, middle + half
 
 
-def log_factorials(n: Column) -> Column:
-    """ln(n!) by summation."""
-    return F.aggregate(F.sequence(F.lit(0), n.cast("int")), F.lit(0.0), lambda acc, i: acc + F.when(i > 1, F.log(i.cast("double"))).otherwise(0.0))
+def nearest_ranks(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, a column per share): the element at round-half-even((n - 1) * share) of each group's sorted values.
+
+    From counts by distinct value and their running sum: no group's values are gathered.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n"))
+    own, by = Window.partitionBy(*group), Window.partitionBy(*group).orderBy(value)
+    seen = counts.withColumn("__upto", F.sum("__n").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(own))
+    at = {name: F.bround((F.col("__all") - 1) * share, 0) for name, share in shares.items()}
+    return seen.groupBy(*group).agg(*[F.min(F.when(F.col("__upto") > place, F.col(value))).alias(name) for name, place in at.items()])
+
+
+def snapshot_difference(now: DataFrame, then: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """(keys, values): what each key's values have grown by; a side that lacks a key counts 0, and rows of zeros are left out."""
+    before = then.select(*keys, *[F.col(v).alias(f"__{v}") for v in values])
+    both = now.join(before, keys, "full_outer")
+    grown = both.select(*keys, *[(F.coalesce(v, F.lit(0)) - F.coalesce(f"__{v}", F.lit(0))).alias(v) for v in values])
+    return grown.where(F.greatest(*[F.abs(v) for v in values], F.lit(0)) > 0)
 
 
 def mcnemar_exact(b: Column, c: Column) -> Column:
-    """Two-sided exact p of discordant counts b and c."""
+    """Two-sided exact p of discordant counts b and c (up to some millions): binomial terms one from the other, in logarithms."""
     n, k = b + c, F.least(b, c)
-    term = lambda i: F.exp(log_factorials(n) - log_factorials(i) - log_factorials(n - i) - n * F.log(F.lit(2.0)))
-    tail = F.aggregate(F.sequence(F.lit(0), k.cast("int")), F.lit(0.0), lambda acc, i: acc + term(i))
+    start = F.struct((-n * F.log(F.lit(2.0))).alias("term"), F.exp(-n * F.log(F.lit(2.0))).alias("sum"))
+
+    def step(state: Column, i: Column) -> Column:
+        term = state["term"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))
+        return F.struct(term.alias("term"), (state["sum"] + F.exp(term)).alias("sum"))
+
+    tail = F.aggregate(F.filter(F.sequence(F.lit(0), k.cast("int")), lambda i: i > 0), start, step)["sum"]
     return F.when(n == 0, 1.0).otherwise(F.least(2 * tail, F.lit(1.0)))
 
 

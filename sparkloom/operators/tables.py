@@ -86,6 +86,13 @@ def valid_series(rows: DataFrame, id_col: str, first_col: str, width: int) -> Da
     return found.select(id_col, ((F.col("n") >= 2) & (F.lit(width) >= 2) & (~F.col("numeric") | F.col("years"))).alias("valid"))
 
 
+def islands(lines: DataFrame, id_col: str, order: str, inside: str, least: int) -> DataFrame:
+    """(id, first, last, lines) of every run of ``least`` or more consecutive lines inside, places counted from 0."""
+    kept = lines.where(inside).withColumn("__island", F.col(order) - F.row_number().over(Window.partitionBy(id_col).orderBy(order)))
+    runs = kept.groupBy(id_col, "__island").agg(F.min(order).cast("long").alias("first"), F.max(order).cast("long").alias("last"), F.count(F.lit(1)).alias("lines"))
+    return runs.where(F.col("lines") >= least).drop("__island")
+
+
 def fixed_stride_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 1024, overlap: int = 200) -> DataFrame:
     """(id, chunk_idx, start, text): windows of ``size`` characters, each beginning ``size - overlap`` after the last."""
     step = size - overlap

@@ -31,10 +31,18 @@ def cluster_sources(nodes: DataFrame, cluster: str, source: str) -> DataFrame:
 
 def kmeans_groups(nodes: DataFrame, vector: str, k: int, seed: int = 42, restarts: int = RESTARTS) -> DataFrame:
     """Adds ``cluster``: the best of several seeded k-means runs by training cost."""
-    data = nodes.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>"))).cache()
+    data = nodes.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>"))).persist()
     models = [KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="cluster").fit(data) for i in range(restarts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(data).drop("__v")
+    found = best.transform(nodes.withColumn("__v", array_to_vector(F.col(vector).cast("array<double>")))).drop("__v")
+    data.unpersist()
+    return found
+
+
+def mean_members(grouped: DataFrame) -> DataFrame:
+    """(cluster, v): each cluster's mean vector, summed place by place."""
+    places = grouped.select("cluster", F.posexplode("v").alias("place", "x")).groupBy("cluster", "place").agg(F.avg("x").alias("x"))
+    return places.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("v"))  # a vector's places
 
 
 def build_tree(nodes: DataFrame, summarise: Callable[[DataFrame], DataFrame], levels: int = LEVELS, least: int = LEAST_NODES, restarts: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, retrieval
+from . import checks, corpus, frame, measures, retrieval
 
-_MODULES = (corpus, retrieval)
+_MODULES = (corpus, retrieval, frame, measures, checks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
