@@ -136,35 +136,34 @@ def number_normalise(t):
 
 
 @book.add("""
-select coalesce(a.doc_id, b.doc_id) as doc_id, case when b.doc_id is null then 'added' when a.doc_id is null then 'removed' else 'modified' end as change
-from (select doc_id, case when doc_id % 7 = 0 then md5(text || '!') else md5(text) end as h from documents where doc_id % 11 <> 0) a
-full join (select doc_id, md5(text) as h from documents where doc_id % 13 <> 0) b on a.doc_id = b.doc_id
-where a.doc_id is null or b.doc_id is null or a.h <> b.h
+select coalesce(a.doc_id, b.vec_id) as doc_id, case when b.vec_id is null then 'added' when a.doc_id is null then 'removed' else 'modified' end as change
+from (select doc_id, toxic as h from labels) a full join (select vec_id, label as h from embeddings) b on a.doc_id = b.vec_id
+where a.doc_id is null or b.vec_id is null or a.h is distinct from b.h
 """)
 def manifest_diff(t):
-    docs = t("documents")
-    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    now = docs.where("doc_id % 11 <> 0").select("doc_id", F.md5(text).alias("h"))
-    then = docs.where("doc_id % 13 <> 0").select("doc_id", F.md5("text").alias("h"))
+    """Two whole tables as snapshots of one store: labels now, vectors' labels then."""
+    now = t("labels").select("doc_id", F.col("toxic").alias("h"))
+    then = t("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("h"))
     return sync.manifest_diff(now, then, "doc_id", "h")
 
 
 @book.add("""
-select doc_id, case when doc_id % 7 = 0 then 'new' else 'cached' end as origin, length(text)::bigint as chars from documents
+select doc_id, case when doc_id in (select doc_id from labels) then 'new' else 'cached' end as origin, length(text)::bigint as chars from documents
 """)
 def incremental_merge(t):
+    """Labelled documents have changed: their cached rows go, fresh ones come."""
     docs = t("documents").select("doc_id", F.length("text").cast("long").alias("chars"))
-    cached, changed = docs.withColumn("origin", F.lit("cached")), docs.where("doc_id % 7 = 0")
-    return sync.merge_changed(cached, changed, changed.withColumn("origin", F.lit("new")), "doc_id").select("doc_id", "origin", "chars")
+    changed = t("labels").select("doc_id")
+    fresh = docs.join(changed, "doc_id", "left_semi").withColumn("origin", F.lit("new"))
+    return sync.merge_changed(docs.withColumn("origin", F.lit("cached")), changed, fresh, "doc_id").select("doc_id", "origin", "chars")
 
 
 @book.add("""
-select doc_id, case when doc_id % 3 = 0 then 'upsert' else 'delete' end as action from documents where doc_id % 5 = 0
+select doc_id, case when doc_id in (select vec_id from embeddings) then 'upsert' else 'delete' end as action from documents
 """)
 def change_split(t):
-    docs = t("documents").select("doc_id")
-    changes, snapshot = docs.where("doc_id % 5 = 0"), docs.where("doc_id % 3 = 0")
-    up, gone = sync.split_changes(changes, snapshot, "doc_id")
+    """All documents as changes: those that have a vector are put in, the others taken out."""
+    up, gone = sync.split_changes(t("documents").select("doc_id"), t("embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
     return up.withColumn("action", F.lit("upsert")).unionByName(gone.withColumn("action", F.lit("delete")))
 
 
@@ -174,14 +173,15 @@ def sha_manifest(t):
 
 
 @book.add("""
-select doc_id::varchar as path, case when doc_id % 17 = 0 then 'missing' when doc_id % 19 = 0 then 'corrupted' end as problem
-from documents where doc_id % 17 = 0 or doc_id % 19 = 0
+select coalesce(d.doc_id, p.page_id)::varchar as path, case when p.page_id is null then 'missing' when d.doc_id is null then 'unexpected' else 'corrupted' end as problem
+from documents d full join pages p on d.doc_id = p.page_id where d.doc_id is null or p.page_id is null or sha256(d.text) is distinct from sha256(p.html)
 union all select '../outside', 'unsafe'
 """)
 def artefact_verify(t):
-    docs = t("documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("digest"))
-    declared = docs.select("path", "digest").unionByName(docs.sparkSession.createDataFrame([("../outside", "x")], "path string, digest string"))
-    actual = docs.where("doc_id % 17 <> 0").select("path", F.when(F.col("doc_id") % 19 == 0, "broken").otherwise(F.col("digest")).alias("digest"))
+    """The manifest of all documents against the pages that stand in their place."""
+    docs = t("documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("digest"))
+    declared = docs.unionByName(docs.sparkSession.createDataFrame([("../outside", "x")], "path string, digest string"))
+    actual = t("pages").select(F.col("page_id").cast("string").alias("path"), F.sha2("html", 256).alias("digest"))
     return sync.verify_manifest(declared, actual, "path", "digest")
 
 
@@ -212,13 +212,13 @@ def store_inspection(t):
 
 
 @book.add("""
-select doc_id, 'Documento ' || doc_id || ' (' || lang || ')' || chr(10) || substr(text, 1, 200) as text, 'text' as type from documents
-union all select s_suppkey, 'Tabela ' || s_suppkey || chr(10) || '| name | balance |', 'table' from supplier
+select doc_id, 'Documento ' || doc_id || ' (' || lang || ')' || chr(10) || text as text, 'text' as type from documents
+union all select s_suppkey, 'Tabela ' || s_suppkey || chr(10) || '| name | balance |' || chr(10) || '| ' || s_name || ' | ' || s_acctbal::decimal(18, 2)::varchar || ' |', 'table' from supplier
 """)
 def document_normalisation(t):
-    texts = t("documents").select("doc_id", F.concat(F.format_string("Documento %d (%s)\n", "doc_id", "lang"), F.substring("text", 1, 200)).alias("text"), F.lit("text").alias("type"))
-    grids = t("supplier").select(F.col("s_suppkey").alias("doc_id"), F.concat(F.format_string("Tabela %d\n", "s_suppkey"), F.lit("| name | balance |")).alias("text"), F.lit("table").alias("type"))
-    return texts.unionByName(grids, allowMissingColumns=True)
+    texts = t("documents").select("doc_id", F.concat(F.format_string("Documento %d (%s)\n", "doc_id", "lang"), "text").alias("text"), F.lit("text").alias("type"))
+    grid = F.concat(F.format_string("Tabela %d\n| name | balance |\n| ", "s_suppkey"), "s_name", F.lit(" | "), F.col("s_acctbal").cast("decimal(18,2)").cast("string"), F.lit(" |"))
+    return texts.unionByName(t("supplier").select(F.col("s_suppkey").alias("doc_id"), grid.alias("text"), F.lit("table").alias("type")))
 
 
 @book.add("""
