@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import cut
@@ -153,10 +153,16 @@ class Lexicon:
 
 
 def corpus_lexicon(df: DataFrame, text_col: str, words: int = LEXICON_WORDS) -> Lexicon:
-    """The commonest words and the letter pairs of all texts; counted in Spark, of bounded size here."""
+    """The commonest words, ``words`` at most, and the letter pairs of all texts; counted in Spark, of bounded size here.
+
+    The least count of a common word comes from the number of words of each count, so that no task
+    sends its own list; words of a count that would exceed the bound are all left out.
+    """
     found = F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit("[a-z]{3,24}"), F.lit(0))
     counts = cut(df.select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    top = counts.orderBy(F.col("n").desc(), "word").limit(words).collect()
+    upto = F.sum("words").over(Window.orderBy(F.col("n").desc()))  # a row per distinct count
+    least = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("upto", upto).where(F.col("upto") <= words).agg(F.min("n").alias("n")).first()["n"]
+    top = counts.where(F.col("n") >= least).collect() if least is not None else []
     pairs = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("pair")
     letters = counts.select(pairs, "n").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # 676 rows at most
     return Lexicon(frozenset(r["word"] for r in top), {r["pair"]: float(r["n"]) for r in letters})
