@@ -33,7 +33,7 @@ DRAWS, CAPS = 2, 20
 #: A vector in fewer caps than this gets lower ones of its own, so that none is left out.
 LEAST_CAPS = 10
 MAX_BLOCK_CODES = 4096
-CELL = 512
+CELL = 1024
 _CODE_SEED, _TRIAL = 20_250_101, 400
 
 
