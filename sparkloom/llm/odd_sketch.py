@@ -36,6 +36,8 @@ BANDS, BAND_ROWS = 20, 5
 SKETCH_BITS = 512
 #: Bits of the parity bitmap of a whole set.
 PARITY_BITS = 2048
+#: Sets whose bits are counted together: 16 KB a set, and texts may be short.
+SETS_AT_ONCE = 1024
 #: Standard deviations of the estimate that the sketch filter leaves below the threshold.
 SLACK = 5.0
 
@@ -61,6 +63,8 @@ def minhashes(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
     """(sets, SKETCH_BITS / 64) words: every (sample, value) flips one bit."""
+    if len(samples) > SETS_AT_ONCE:
+        return np.concatenate([odd_sketches(samples[lo : lo + SETS_AT_ONCE]) for lo in range(0, len(samples), SETS_AT_ONCE)])
     at = mix64(samples.astype(np.uint64) ^ _SAMPLE_SALT) % np.uint64(SKETCH_BITS)
     n = len(samples)
     flips = np.bincount((np.arange(n)[:, None] * SKETCH_BITS + at.astype(np.int64)).ravel(), minlength=n * SKETCH_BITS)
@@ -105,6 +109,8 @@ def parity_bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     n = len(sets)
     if not n:
         return np.zeros((0, PARITY_BITS // 64), dtype=np.int64)
+    if n > SETS_AT_ONCE:
+        return np.concatenate([parity_bitmaps(sets[lo : lo + SETS_AT_ONCE]) for lo in range(0, n, SETS_AT_ONCE)])
     at = (np.concatenate(sets) % np.uint64(PARITY_BITS)).astype(np.int64) + np.repeat(np.arange(n) * PARITY_BITS, [len(s) for s in sets])
     flips = np.bincount(at, minlength=n * PARITY_BITS)
     return np.packbits((flips & 1).astype(np.uint8).reshape(n, PARITY_BITS), axis=1).view(np.int64)
