@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.special import chi_square_tail, normal_two_sided
+from sparkloom.sources.scratch import pinned
+
 Z95 = 1.959964
+#: Ranges of values that a group's running sums are taken in.
+RANGES = 64
 
 
 def nearest_rank(values: Column, p: float) -> Column:
@@ -55,34 +60,112 @@ def mcnemar_exact(b: Column, c: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(2 * tail, F.lit(1.0)))
 
 
+def running_sums(df: DataFrame, group: list[str], value: str, amounts: dict[str, str]) -> DataFrame:
+    """Adds to rows of one value each, per group: for every (amount, name), the sum of the amounts of smaller values.
+
+    A group's values are cut into ranges at its approximate quantiles: sums run within a range, and over
+    the few ranges of a group, so that no task sorts a whole group. Null values come first.
+    """
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    cuts = pinned(df.groupBy(*group).agg(F.percentile_approx(value, shares, 4 * RANGES).alias("__cuts")))  # both uses below must cut alike
+    at = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(value))), F.lit(-1))
+    joined = df.join(F.broadcast(cuts)) if not group else df.join(cuts, group)  # without a group: one row
+    ranged = joined.withColumn("__range", at).drop("__cuts")
+    own = Window.partitionBy(*group, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*group, "__range").agg(*[F.sum(a).alias(f"__{n}") for a, n in amounts.items()])
+    shifts = totals.select(*group, "__range", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in amounts.values()])
+    found = ranged.join(shifts, [*group, "__range"])
+    return found.withColumns({n: F.coalesce(F.sum(a).over(own), F.lit(0)) + F.col(f"__{n}") for a, n in amounts.items()}).drop("__range", *[f"__{n}" for n in amounts.values()])
+
+
+def value_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, value, t, below): how many rows of a group have each value, and how many a smaller one."""
+    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("t"))
+    return running_sums(counts, group, value, {"t": "below"})
+
+
 def holm(df: DataFrame, family: list[str], p: str, tie: str) -> DataFrame:
-    """Adds ``adjusted``: Holm's step-down p within each family."""
-    order = Window.partitionBy(*family).orderBy(p, tie)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*family))
-    step = F.least((m - F.row_number().over(order) + 1) * F.col(p), F.lit(1.0))
-    return df.withColumn("__step", step).withColumn("adjusted", F.max("__step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__step")
+    """Adds ``adjusted``: Holm's step-down p within each family.
+
+    The last row of each p value decides: its predecessors of that value have larger steps, so a value's
+    adjusted p is the largest first step of the values up to it; ``tie`` no longer matters then.
+    """
+    ranks = value_ranks(df.where(F.col(p).isNotNull()), family, p)
+    sizes = df.where(F.col(p).isNotNull()).groupBy(*family).agg(F.count(F.lit(1)).alias("__m"))
+    step = F.least((F.col("__m") - F.col("below")) * F.col(p), F.lit(1.0))
+    steps = ranks.join(sizes, family).withColumn("__step", step)
+    return df.join(_running_max(steps, family, p), [*family, p], "left")
+
+
+def _running_max(steps: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, value, adjusted): the largest ``__step`` up to each value, by ranges as in ``running_sums``."""
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    cuts = pinned(steps.groupBy(*group).agg(F.percentile_approx(value, shares, 4 * RANGES).alias("__cuts")))
+    ranged = steps.join(cuts, group).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).select(*group, value, "__range", "__step")
+    own = Window.partitionBy(*group, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = ranged.groupBy(*group, "__range").agg(F.max("__step").alias("__top")).select(*group, "__range", F.coalesce(F.max("__top").over(before), F.lit(0.0)).alias("__before"))
+    return ranged.join(tops, [*group, "__range"]).select(*group, value, F.greatest(F.max("__step").over(own), "__before").alias("adjusted"))
 
 
 def average_ranks(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
     """Adds the average rank of ``value``; ties share theirs."""
-    by = Window.partitionBy(*group)
-    return df.withColumn(name, F.rank().over(by.orderBy(value)) + (F.count(F.lit(1)).over(by.partitionBy(*group, value)) - 1) / 2)
+    ranks = value_ranks(df, group, value).select(*group, value, (F.col("below") + (F.col("t") + 1) / 2).alias(name))
+    return df.join(ranks, [*group, value])
 
 
 def kruskal_h(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(h, groups, n): the tie-corrected Kruskal-Wallis statistic of all rows.
-
-    Ranks come from counts by distinct value: the running sum over those is the only window.
-    """
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("t"))
-    below = F.coalesce(F.sum("t").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(value, "t", (below + (F.col("t") + 1) / 2).alias("r"))
+    """(h, groups, n, p): the tie-corrected Kruskal-Wallis statistic of all rows and its chance under chi-square."""
+    ranks = value_ranks(df, [], value).select(value, "t", (F.col("below") + (F.col("t") + 1) / 2).alias("r"))
     sums = df.join(ranks, value).groupBy(group).agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("k"))
     ties = ranks.agg(F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"), F.sum("t").alias("n"))
     total = sums.agg(F.sum(F.col("s") * F.col("s") / F.col("k")).alias("q"), F.count(F.lit(1)).alias("groups"))
     n = F.col("n").cast("double")
-    h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
-    return total.join(ties).select(h.alias("h"), "groups", F.col("n"))  # one row by one row
+    h = (12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)) / F.nullif(1 - F.col("ties") / (n * n * n - n), F.lit(0.0))
+    found = total.join(ties).select(h.alias("h"), "groups", F.col("n"))  # one row by one row
+    return found.withColumn("p", F.when(F.col("h").isNull(), 1.0).otherwise(chi_square_tail(F.greatest("h", F.lit(0.0)), F.col("groups") - 1)))
+
+
+#: Differences of a group up to which the signed-rank test lists every split of the signs.
+EXACT = 50
+
+
+def wilcoxon_zsplit(df: DataFrame, group: list[str], difference: str, exact: int = EXACT) -> DataFrame:
+    """(group, n, plus, minus, p): the two-sided signed-rank test; zeros keep their ranks, half of them on either side.
+
+    Up to ``exact`` differences without ties and zeros the chance comes from the number of ways to
+    reach each sum, counted by dynamic programming; beyond, and with ties or zeros, from the normal
+    approximation with its tie correction. Null differences are left out; all zero gives 1.
+    """
+    size = F.abs(F.col(difference))
+    own = df.where(F.col(difference).isNotNull()).select(*group, size.alias("__size"), F.sign(difference).alias("__sign"))
+    counts = own.groupBy(*group, "__size").agg(F.count(F.lit(1)).alias("t"), F.count(F.when(F.col("__sign") > 0, 1)).alias("up"), F.count(F.when(F.col("__sign") < 0, 1)).alias("down"))
+    rank = F.col("below") + (F.col("t") + 1) / 2
+    t = F.col("t").cast("double")
+    half = F.when(F.col("__size") == 0, F.col("t") / 2).otherwise(0.0)
+    sums = running_sums(counts, group, "__size", {"t": "below"}).groupBy(*group).agg(
+        F.sum("t").alias("n"), F.sum(rank * (F.col("up") + half)).alias("plus"), F.sum(rank * (F.col("down") + half)).alias("minus"),
+        F.sum(t * t * t - t).alias("ties"), F.max(F.when(F.col("__size") == 0, F.col("t")).otherwise(0)).alias("zeros"),
+    )
+    n, least = F.col("n").cast("double"), F.least("plus", "minus")
+    spread = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
+    far = F.when(spread > 0, normal_two_sided((least - n * (n + 1) / 4) / spread)).otherwise(1.0)
+    p = F.when(F.col("zeros") == F.col("n"), 1.0).when((F.col("n") <= exact) & (F.col("ties") == 0) & (F.col("zeros") == 0), signed_rank_exact(F.col("n"), least)).otherwise(far)
+    return sums.select(*group, "n", "plus", "minus", p.alias("p"))
+
+
+def signed_rank_exact(n: Column, least: Column) -> Column:
+    """Twice the chance that ranks 1..n with random signs sum up to ``least`` or less: ways by sum, one rank after the other."""
+    places = F.sequence(F.lit(0), (n * (n + 1) / 2).cast("int"))
+    start = F.transform(places, lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+
+    def add(ways: Column, r: Column) -> Column:
+        return F.transform(ways, lambda w, s: (w + F.when(s >= r, F.try_element_at(ways, s - r + 1)).otherwise(0.0)) / 2)
+
+    chances = F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, add)
+    tail = F.aggregate(F.slice(chances, 1, F.floor(least).cast("int") + 1), F.lit(0.0), lambda a, c: a + c)
+    return F.least(2 * tail, F.lit(1.0))
 
 
 def fleiss_kappa(counts: DataFrame, subject: str, category: str, n: str) -> DataFrame:
@@ -105,20 +188,43 @@ def weighted_kappa(pairs: DataFrame, a: str, b: str, k: int) -> DataFrame:
     return seen.join(due).select((1 - F.col("o") / (F.col("e") / (F.col("n").cast("double") * F.col("n")))).alias("kappa"))
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, value: str, repeats: int = 1000, seed: int = 42) -> DataFrame:
-    """(mean, lo, hi): percentile interval of the mean over clusters drawn with replacement.
+def cluster_bootstrap(df: DataFrame, cluster: list[str], value: str, repeats: int = 10_000, seed: int = 42) -> DataFrame:
+    """(mean, lo, hi): the mean of all values, and its percentile interval over clusters drawn with replacement.
 
-    Each cluster's mean is weighed by a Poisson(1) count per repeat, from a hash of cluster and
-    repeat: one pass, no resampled tables.
+    A cluster goes by its sum and its count. Each is drawn a Poisson(1) number of times per repeat, from
+    a generator keyed by the cluster: tasks add up what their clusters give to every repeat, so that a
+    row per repeat and batch is all that is shuffled. Reruns agree.
     """
-    means = df.groupBy(cluster).agg(F.avg(value).alias("m"))
-    u = F.pmod(F.xxhash64(F.col(cluster), F.col("r"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    steps, total, p = [], 0.0, 0.36787944117144233
-    for k in range(1, 9):  # the Poisson(1) distribution function
-        total += p
-        steps.append((u >= total).cast("int"))
-        p /= k
-    drawn = means.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("w", sum(steps[1:], steps[0]))
-    each = drawn.groupBy("r").agg((F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias("m"))
+    import numpy as np
+    import pandas as pd
+
+    sums = df.where(F.col(value).isNotNull()).groupBy(*cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(F.lit(1)).cast("double").alias("n"))
+    keyed = sums.select(F.xxhash64(*cluster, F.lit(seed)).alias("key"), "s", "n")
+
+    def draw(batches):
+        for batch in batches:
+            total, rows = np.zeros(repeats), np.zeros(repeats)
+            for key, s, n in batch.itertuples(index=False):
+                times = np.random.Generator(np.random.Philox(key=key % (1 << 64))).poisson(1.0, repeats)
+                total += times * s
+                rows += times * n
+            yield pd.DataFrame({"r": np.arange(repeats), "s": total, "n": rows})
+
+    each = keyed.mapInPandas(draw, "r long, s double, n double").groupBy("r").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
     bounds = each.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("b"))
-    return means.agg(F.avg("m").alias("mean")).join(bounds).select("mean", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
+    point = sums.agg((F.sum("s") / F.sum("n")).alias("mean"))
+    return point.join(bounds).select("mean", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))  # one row by one row
+
+
+def paired_deltas(base: DataFrame, arm: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, base, arm, delta): means of the questions that both arms answered; null values are left out."""
+    left, right = (x.where(F.col(value).isNotNull()).groupBy(key).agg(F.avg(value).alias(name)) for x, name in ((base, "base"), (arm, "arm")))
+    return left.join(right, key).withColumn("delta", F.col("arm") - F.col("base"))
+
+
+def paired_comparison(base: DataFrame, arm: DataFrame, key: str, value: str, repeats: int = 10_000) -> DataFrame:
+    """(n, base, arm, delta, lo, hi, p): two arms by question, with the bootstrap interval of the difference and the signed-rank p; no row below two questions."""
+    pairs = pinned(paired_deltas(base, arm, key, value))
+    means = pairs.agg(F.count(F.lit(1)).alias("n"), F.avg("base").alias("base"), F.avg("arm").alias("arm"), F.avg("delta").alias("delta")).where("n >= 2")
+    interval = cluster_bootstrap(pairs, [key], "delta", repeats).select("lo", "hi")
+    return means.join(interval).join(wilcoxon_zsplit(pairs, [], "delta").select("p"))  # single rows

@@ -116,17 +116,6 @@ def verify_numbers(t):
     return found.select(F.col("answer_id").alias("key"), "verified")
 
 
-@book.add(r"""
-with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as i from documents),
-p as (select doc_id, i, length(line) % 2 = 0 as inside from l), g as (select *, i - row_number() over (partition by doc_id order by i) as island from p where inside)
-select doc_id, min(i) as first, max(i) as last, count(*) as lines from g group by doc_id, island having count(*) >= 2
-""")
-def table_islands(t):
-    """Runs of two lines or more of one kind (lines of even length stand for those of a table), by gaps and islands."""
-    lines = t("documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
-    return tables.islands(lines.withColumn("inside", F.length("line") % 2 == 0), "doc_id", "i", "inside", 2)
-
-
 @book.add("""
 with n as (select *, row_number() over (partition by conv_id order by turn desc) as k from conversations), r as (select * from n where k <= 12),
 u as (select *, 2000 - coalesce(sum(length(text)) over (partition by conv_id order by turn desc rows between unbounded preceding and 1 preceding), 0) as room from r)

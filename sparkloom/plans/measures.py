@@ -255,11 +255,49 @@ def spearman_rank(t):
 
 @book.add("""
 with r as (select o_orderpriority as g, rank() over (order by o_totalprice) + (count(*) over (partition by o_totalprice) - 1) / 2.0 as r, o_totalprice as v from orders),
-s as (select g, sum(r) as s, count(*) as k from r group by 1), t as (select sum(c::double * c * c - c) as ties, sum(c) as n from (select count(*) as c from r group by v))
-select round((12 / (n::double * (n + 1)) * (select sum(s * s / k) from s) - 3 * (n + 1)) / (1 - ties / (n::double * n * n - n)), 6) as h, (select count(*) from s) as groups, n::bigint as n from t
+s as (select g, sum(r) as s, count(*) as k from r group by 1), t as (select sum(c::double * c * c - c) as ties, sum(c) as n from (select count(*) as c from r group by v)),
+h as (select (12 / (n::double * (n + 1)) * (select sum(s * s / k) from s) - 3 * (n + 1)) / (1 - ties / (n::double * n * n - n)) as h0, (select count(*) from s) as groups, n::bigint as n from t), select_p as (select *, round(exp(-h0 / 2) * (1 + h0 / 2), 6) as p from h)
+select round(h0, 6) as h, groups, n, p from select_p
 """)
 def kruskal_h(t):
-    return stats.kruskal_h(t("orders"), "o_orderpriority", "o_totalprice").select(F.round("h", 6).alias("h"), "groups", "n")
+    """Five groups: chi-square of four degrees has a closed form."""
+    return stats.kruskal_h(t("orders"), "o_orderpriority", "o_totalprice").select(F.round("h", 6).alias("h"), "groups", "n", F.round("p", 6).alias("p"))
+
+
+def _arms(t):
+    """Orders of odd and of even keys as the answers of two arms; a customer is a question."""
+    o = t("orders").select(F.col("o_custkey").alias("question"), F.round(F.col("o_totalprice") / 1000, 0).alias("score"), (F.col("o_orderkey") % 2).alias("arm"))
+    return o.where("arm = 0"), o.where("arm = 1")
+
+
+_PAIRS = """
+p as (select question, b.m as base, a.m as arm, round(a.m - b.m, 4) as delta from (select o_custkey as question, avg(round(o_totalprice / 1000)) as m from orders where o_orderkey % 2 = 0 group by 1) b
+  join (select o_custkey as question, avg(round(o_totalprice / 1000)) as m from orders where o_orderkey % 2 = 1 group by 1) a using (question))
+"""
+
+
+@book.add(f"with {_PAIRS} select question, round(base, 4) as base, round(arm, 4) as arm, delta from p")
+def paired_deltas(t):
+    """Questions that both arms answered, and what they differ by."""
+    found = stats.paired_deltas(*_arms(t), "question", "score")
+    return found.select("question", F.round("base", 4).alias("base"), F.round("arm", 4).alias("arm"), F.round("delta", 4).alias("delta"))
+
+
+@book.add(f"""
+with {_PAIRS}, s as (select question % 7 as family, round(abs(delta)) as size, sign(round(delta)) as side from p),
+r as (select *, rank() over (partition by family order by size) + (count(*) over (partition by family, size) - 1) / 2.0 as r from s)
+select family, count(*) as n, round(sum(r * case side when 1 then 1.0 when 0 then 0.5 else 0 end), 4)::double as plus, round(sum(r * case side when -1 then 1.0 when 0 then 0.5 else 0 end), 4)::double as minus from r group by 1
+""")
+def signed_ranks(t):
+    """Signed ranks of differences rounded to whole numbers: ties, and zeros that count for both sides."""
+    found = stats.paired_deltas(*_arms(t), "question", "score").select((F.col("question") % 7).alias("family"), F.round(F.round("delta", 4)).alias("delta"))
+    return stats.wilcoxon_zsplit(found, ["family"], "delta").select("family", "n", F.round("plus", 4).alias("plus"), F.round("minus", 4).alias("minus"))
+
+
+@book.add()
+def paired_comparison(t):
+    """Two arms by question: means, difference, its interval of 10,000 repeats, and the signed-rank p."""
+    return stats.paired_comparison(*_arms(t), "question", "score")
 
 
 @book.add("""
@@ -281,7 +319,7 @@ def cluster_means(t):
 
 @book.add()
 def bootstrap_interval(t):
-    return stats.cluster_bootstrap(t("orders"), "o_custkey", "o_totalprice", repeats=200)
+    return stats.cluster_bootstrap(t("orders"), ["o_custkey"], "o_totalprice")
 
 
 @book.add("""

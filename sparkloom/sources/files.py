@@ -80,9 +80,10 @@ def without_nan(df: DataFrame) -> DataFrame:
 
 
 def write_swapped(df: DataFrame, path: str, form: str = "json") -> None:
-    """Writes beside ``path``, then renames: readers see the old folder or the new one, whole.
+    """Writes beside ``path``, then renames: what stood there moves aside, goes last, and comes back if the new folder can't take its place.
 
-    ``form``: json (a record a line, fields of null left in), parquet. What stood at ``path`` goes.
+    ``form``: json (a record a line, fields of null left in), parquet. Between the two renames there is
+    nothing at ``path``; readers that can't bear that read an ``index_store``, which swaps a pointer.
     """
     spark = df.sparkSession
     beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
@@ -91,10 +92,16 @@ def write_swapped(df: DataFrame, path: str, form: str = "json") -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     target, made = hadoop(path), hadoop(beside)
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(target):
-        files.delete(target, True)
+    aside = hadoop(f"{beside}.old")
+    had = files.exists(target)
+    if had and not files.rename(target, aside):
+        raise OSError(f"could not move {path} aside")
     if not files.rename(made, target):
+        if had:
+            files.rename(aside, target)
         raise OSError(f"could not put {beside} in place of {path}")
+    if had:
+        files.delete(aside, True)
 
 
 def node_store(spark: SparkSession, path: str, nodes: DataFrame | None = None) -> DataFrame:
