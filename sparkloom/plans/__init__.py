@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, corpus, frame, measures, memory, reports, retrieval
+from . import answers, checks, corpus, frame, measures, memory, reports, retrieval
 
-_MODULES = (corpus, retrieval, frame, measures, checks, memory, reports)
+_MODULES = (corpus, retrieval, frame, measures, checks, memory, reports, answers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -37,8 +37,15 @@ overlap as (select * from (select query_id, doc_id, row_number() over (partition
 """
 
 
-def _query_terms(t):
-    return t("benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(X.content_terms(F.col("text")))).alias("term")).distinct()
+BM25_SQL = _BM25
+
+
+def query_terms(t, least: int = 4):
+    """(query_id, term) of every item."""
+    return t("benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(X.content_terms(F.col("text"), least))).alias("term")).distinct()
+
+
+_query_terms = query_terms
 
 
 def _scores(t):
