@@ -11,7 +11,7 @@ from sparkloom.functions.text import fold
 SMALL_TABLE_ROWS = 10
 JOINT = "\n---\n"
 # Granularity words that make a table a series.
-TEMPORAL_WORDS = "mensal trimestral anual semestral semanal diaria bimestral quinzenal temporal historica".split()
+TEMPORAL_WORDS = ("mensal", "trimestral", "semestral", "bimestral", "semanal", "diário", "diaria", "diária", "anual", "ano a ano")
 # Month names, as folded text has them.
 MONTHS = "janeiro fevereiro marco abril maio junho julho agosto setembro outubro novembro dezembro".split()
 
@@ -68,6 +68,7 @@ def granularity(text: Column) -> Column:
 
 
 def is_temporal(kind: Column, grain: Column) -> Column:
+    """A table whose granularity names a rhythm; without one it is static."""
     low = F.lower(F.coalesce(grain, F.lit("")))
     found = F.exists(F.array(*[F.lit(w) for w in TEMPORAL_WORDS]), lambda w: F.contains(low, w))
     return (F.coalesce(kind, F.lit("")) == "table") & found
@@ -77,13 +78,21 @@ def is_static(kind: Column, grain: Column) -> Column:
     return (F.coalesce(kind, F.lit("")) == "table") & ~is_temporal(kind, grain)
 
 
+def is_narrative(kind: Column) -> Column:
+    """What the text path keeps: anything that is no table, an unknown kind included."""
+    return ~kind.eqNullSafe(F.lit("table"))
+
+
 def valid_series(rows: DataFrame, id_col: str, first_col: str, width: int) -> DataFrame:
-    """(id, valid): two rows and columns at least; the first column not a number, or years in 1900..2100 throughout."""
+    """(id, valid): two rows and columns at least; a first column of words, or of numbers that are all years in 1900..2100.
+
+    A column is one of numbers if no value that it has is anything else; a missing value is no year.
+    """
     number = F.col(first_col).try_cast("double")
     found = rows.groupBy(id_col).agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and(number.isNotNull()).alias("numeric"), F.bool_and(F.coalesce(number.between(1900, 2100), F.lit(False))).alias("years")
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.col(first_col).isNotNull() & number.isNull()).alias("words"), F.bool_and(F.coalesce(number.between(1900, 2100), F.lit(False))).alias("years")
     )
-    return found.select(id_col, ((F.col("n") >= 2) & (F.lit(width) >= 2) & (~F.col("numeric") | F.col("years"))).alias("valid"))
+    return found.select(id_col, ((F.col("n") >= 2) & (F.lit(width) >= 2) & (F.col("words") | F.col("years"))).alias("valid"))
 
 
 def islands(lines: DataFrame, id_col: str, order: str, inside: str, least: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import numbers as N
 from sparkloom.functions import text as X
-from sparkloom.operators import policy, state, tables, validate
+from sparkloom.operators import policy, state, validate
 
 from .base import Book
 from .retrieval import terms_sql
@@ -91,31 +91,6 @@ def band_match(t):
     return validate.band_match(g, s, "key")
 
 
-@book.add("""
-select o_orderkey as key, o_custkey % 2 = 0 as known, o_custkey % 2 = 0 and o_orderkey % 3 < 2 as verified from orders
-""")
-def citation_check(t):
-    """A citation holds where its file was retrieved and all its pages were seen."""
-    k = F.col("o_orderkey")
-    cited = t("orders").select(k.alias("answer_id"), F.lit("f").alias("file"), F.when(k % 3 < 2, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1), F.lit(9))).alias("pages"), (F.col("o_custkey") % 2 == 0).alias("known"))
-    seen = t("orders").where("o_custkey % 2 = 0").select(k.alias("answer_id"), F.lit("f").alias("file"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("page"))
-    return validate.citation_check(cited, seen).select(F.col("answer_id").alias("key"), "known", "verified")
-
-
-@book.add("""
-select o_orderkey as key, o_orderkey % 4 < 3 as verified from orders
-""")
-def verify_numbers(t):
-    """Planted statements: the number as its source has it, alike in value, of another unit or of another year."""
-    k, n = F.col("o_orderkey"), N.written_number(F.round("o_totalprice", 2))
-    answer = F.concat(F.lit("A receita de exportação foi de "), n, F.when(k % 4 == 3, "% em 2021.").otherwise(" em 2021."))
-    source = F.concat(F.lit("Em 2021 a exportação teve receita de "), n, F.lit(" reais."))
-    said = t("orders").select(k.alias("answer_id"), answer.alias("text"))
-    seen = t("orders").select(k.alias("answer_id"), F.lit(1).alias("source_id"), source.alias("text"))
-    found = validate.verify_numbers(said, seen).where(~F.col("raw").isin("2021"))
-    return found.select(F.col("answer_id").alias("key"), "verified")
-
-
 @book.add("""
 with n as (select *, row_number() over (partition by conv_id order by turn desc) as k from conversations), r as (select * from n where k <= 12),
 u as (select *, 2000 - coalesce(sum(length(text)) over (partition by conv_id order by turn desc rows between unbounded preceding and 1 preceding), 0) as room from r)
@@ -156,18 +131,6 @@ def json_payload_validate(t):
     return t("events").select("event_id", found.isNotNull().alias("ok"), F.try_variant_get(found, "$.k", "bigint").alias("k"))
 
 
-@book.add("""
-select p_partkey as key, p_partkey % 5 < 2 as ok, case p_partkey % 5 when 2 then 'ragged' when 3 then 'columns repeat' when 4 then 'nested' end as reason from part
-""")
-def tabular_payloads(t):
-    k = F.col("p_partkey") % 5
-    columns = F.when(k == 3, '["a", "a"]').otherwise('["a", "b"]')
-    cells = F.when(k == 2, '["x"]').when(k == 4, '["[1]", "y"]').otherwise('["x", "y"]')
-    payload = policy.json_object(F.concat(F.lit('{"columns": '), columns, F.lit(', "rows": [["p", "q"], '), cells, F.lit("]}")))
-    checked = policy.tabular_payload(payload)
-    return t("part").select(F.col("p_partkey").alias("key"), checked["ok"].alias("ok"), checked["reason"].alias("reason"))
-
-
 @book.add("""
 select event_id, case when event_id % 7 < 2 then null else value end as value from events
 """)
@@ -192,95 +155,4 @@ def number_readings(t):
     )
 
 
-@book.add("""
-select c_custkey as key, 3 as tokens, c_custkey % 100 + 1950 between 1990 and 2035 as year, list_distinct([2, 3, (c_custkey % 7)::int + 4]) as pages, 4 as fan_out, 20::bigint as bounded, 0.5::double as decided from customer
-""".replace("list_distinct([2, 3, (c_custkey % 7)::int + 4])", "list_sort(list_distinct([2, 3, (c_custkey % 7)::int + 4]))::varchar"))
-def number_helpers(t):
-    """Tokens of a text with numbers, year test, page lists, fan-out, bounded settings and decisiveness."""
-    k = F.col("c_custkey")
-    said = F.concat(F.lit("Cresceu 12,5% e chegou a 1.234,56 em x9, não "), k.cast("string"), F.lit("!"))
-    pages = F.concat(F.lit("2-3, "), (k % 7 + 4).cast("string"))
-    shown = F.concat(F.lit("["), F.array_join(N.pages_of(pages).cast("array<string>"), ", "), F.lit("]"))
-    return t("customer").select(
-        k.alias("key"), F.size(N.number_tokens(said)).alias("tokens"), N.is_year((k % 100 + 1950).cast("string")).alias("year"), shown.alias("pages"), N.fan_out(F.lit(20)).cast("int").alias("fan_out"),
-        N.bounded(F.lit("7"), 80, 20, 200).cast("long").alias("bounded"), N.decisiveness(F.lit("noul"), F.lit(0.75), F.lit(0.1)).alias("decided"),
-    )
-
-
-_SAID = (
-    ("Não encontrei dados sobre isso.", True, False, False, False, "factual"),
-    ("Não consta nos documentos.", True, True, False, False, "factual"),
-    ("Mostre todos os anos da série.", False, False, True, False, "factual"),
-    ("Quais fontes você usou?", False, False, False, True, "factual"),
-    ("Compare o saldo com o de 2020.", False, False, False, False, "comparison"),
-    ("Faça um resumo do período.", False, False, False, False, "summary"),
-)
-
-
-@book.add(f"""
-with s(i, refused, gate, coverage, sources, kind) as (values {", ".join(f"({i}, {r[1]}, {r[2]}, {r[3]}, {r[4]}, '{r[5]}')" for i, r in enumerate(_SAID))})
-select event_id, refused, gate, coverage, sources, kind from events join s on event_id % {len(_SAID)} = i
-""")
-def question_flags(t):
-    """Refusals by both lists, requests for whole series and for sources, and the kind of a question."""
-    said = F.element_at(F.array(*[F.lit(r[0]) for r in _SAID]), (F.col("event_id") % len(_SAID) + 1).cast("int"))
-    return t("events").select(
-        "event_id", policy.matches_any(said, policy.REFUSALS_EVALUATION).alias("refused"), policy.matches_any(said, policy.REFUSALS_GATE).alias("gate"), policy.wants_coverage(said).alias("coverage"),
-        policy.asks_for_sources(said).alias("sources"), policy.classify_question(said).alias("kind"),
-    )
-
-
-@book.add("""
-select event_id, case event_id % 3 when 0 then 'text,tables,timeseries' when 1 then 'text' else 'text,graph' end as chosen from events
-""")
-def chosen_sources(t):
-    asked = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("tables"), F.lit("web"))).when(F.col("event_id") % 3 == 2, F.array(F.lit("graph"), F.lit("text")))
-    return t("events").select("event_id", F.array_join(policy.chosen_sources(asked), ",").alias("chosen"))
-
-
-@book.add("""
-select c_custkey as key, 'https://data.example.org/c/' || c_custkey as url, 'token=[redacted] end' as assigned, '...antes ' || c_custkey || ' depois...' as around, 'plano anual ' || c_custkey || ', p. 3' as label, 'x' as fence,
-  'conteudo agora' as plain, c_custkey % 2 = 0 as has_word from customer
-""")
-def text_helpers(t):
-    """Addresses and secrets redacted, surroundings, labels, code fences, folding and whole words."""
-    k = F.col("c_custkey").cast("string")
-    passage = F.concat(F.lit("a" * 30 + " antes "), k, F.lit(" depois " + "b" * 30))
-    return t("customer").select(
-        F.col("c_custkey").alias("key"), X.redact(F.concat(F.lit("https://user:pw@data.example.org/c/"), k, F.lit("?key=1"))).alias("url"), X.redact(F.concat(F.lit("token="), k, F.lit(" end"))).alias("assigned"),
-        X.snippet(passage, F.lit(37), F.length(k), 7).alias("around"), X.source_label(F.concat(F.lit("dir/plano_anual-"), k, F.lit(".pdf")), F.lit("3")).alias("label"), X.strip_fence(F.lit("```json\nx\n```")).alias("fence"),
-        X.normalise(F.lit("  Conteúdo \n AGORA ")).alias("plain"), X.contains_word(F.when(F.col("c_custkey") % 2 == 0, "a Taxa, enfim").otherwise("a taxação"), F.lit("taxa")).alias("has_word"),
-    )
-
-
-@book.add("""
-select event_id, case event_id % 3 when 0 then 'Cresceu 5% no ano, segundo o texto.' when 1 then 'A taxa é alta' else 'Fim' end as answer from events
-""")
-def answer_sanitiser(t):
-    e = F.col("event_id") % 3
-    raw = F.when(e == 0, "cresceu  5 % no ano [] , segundo o texto.\nFonte: arquivo.pdf").when(e == 1, "Mas, a taxa ( ) é alta").otherwise("fim\n\n\n\n")
-    return t("events").select("event_id", policy.sanitise_answer(raw).alias("answer"))
-
-
-@book.add("""
-select p_brand as brand, case p_size % 4 when 0 then 'mensal' when 1 then 'trimestral' when 2 then 'anual' else '' end as grain, p_size % 4 < 3 as temporal, count(*) as n from part group by 1, 2, 3
-""")
-def table_kinds(t):
-    """Granularity read from a table's text, and whether that makes the table a series."""
-    text = F.element_at(F.array(*[F.lit(x) for x in ("Janeiro e fevereiro de 2020", "1º trimestre de 2021", "Anos 2019 e 2020", "Sem período")]), (F.col("p_size") % 4 + 1).cast("int"))
-    grain = tables.granularity(text)
-    return t("part").groupBy(F.col("p_brand").alias("brand"), grain.alias("grain"), tables.is_temporal(F.lit("table"), grain).alias("temporal")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@book.add("""
-select o_custkey as key, count(*) >= 2 and (not bool_and(o_orderkey % 3 < 2) or bool_and(case when o_orderkey % 3 < 2 then o_orderkey % 3 = 0 else false end)) as valid from orders group by 1
-""")
-def series_validity(t):
-    """Two rows at least, and a first column that is no number, or years throughout."""
-    k = F.col("o_orderkey") % 3
-    first = F.when(k == 0, "1999").when(k == 1, "12,5").otherwise("janeiro")
-    rows = t("orders").select(F.col("o_custkey").alias("key"), F.translate(first, ",", ".").alias("first"))
-    return tables.valid_series(rows, "key", "first", 2)
-
-
 QUERIES, SQL = book.queries, book.sql

@@ -143,30 +143,6 @@ def quality_gate_score(t):
     return policy.select_best(r, "o_custkey", "o_orderkey").select("o_custkey", "o_orderkey", F.round("quality", 6).alias("quality"), "has_error")
 
 
-_KINDS = ("factual", "numeric", "comparison", "summary", "critical")
-_RETRIEVALS, _LEVELS = ("table", "text", "series"), ("low", "medium", "high")
-
-
-def _picked(values, at):
-    return F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
-
-
-@book.add(f"""
-with s(pos, strategy, kinds, retrievals, levels, priority) as (values {", ".join(f"({i}, '{k}', {list(g)}, {list(r)}, {list(c)}, {p}::double)" for i, (k, g, r, c, p) in enumerate(policy.STRATEGIES))}),
-q as (select c_custkey as id, {list(_KINDS)}[c_custkey % 5 + 1] as kind, {list(_RETRIEVALS)}[c_custkey % 3 + 1] as retrieval, {list(_LEVELS)}[c_nationkey % 3 + 1] as complexity, c_custkey % 4 = 0 as multi_hop, (c_custkey % 10) / 10.0::double as confidence from customer),
-x as (select q.id, strategy, confidence, 3.0::double * list_contains(kinds, kind)::int + case when multi_hop and strategy = 'agentic' then 2 else 0 end + priority + list_contains(retrievals, retrieval)::int + list_contains(levels, complexity)::int as score, pos from q, s),
-p as (select *, row_number() over w as place, score - lead(score) over w as gap from x window w as (partition by id order by score desc, pos)),
-m as (select *, max(case when place = 1 then gap end) over (partition by id) as margin from p)
-select id, strategy, score, place, margin, round(0.6 * confidence + 0.4 * least(margin / 3, 1.0), 3) as certainty from m
-""")
-def route_scores(t):
-    q = t("customer").select(
-        F.col("c_custkey").alias("id"), _picked(_KINDS, F.col("c_custkey") % 5).alias("kind"), _picked(_RETRIEVALS, F.col("c_custkey") % 3).alias("retrieval"),
-        _picked(_LEVELS, F.col("c_nationkey") % 3).alias("complexity"), (F.col("c_custkey") % 4 == 0).alias("multi_hop"), (F.col("c_custkey") % 10 / 10).alias("confidence"),
-    )
-    return policy.route_scores(q).select("id", "strategy", "score", "place", "margin", F.round("confidence_out", 3).alias("certainty"))
-
-
 _SKILLS = (("metal", 2, "bolt"), ("metal", 2, "ring"), ("colour", 1, "red"), ("colour", 1, "blue widget"), ("tool", 3, "widget"), ("size", 1, "small"))
 
 
