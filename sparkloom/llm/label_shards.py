@@ -1,7 +1,8 @@
 """Sharding by balanced label propagation, in DataFrame operations only.
 
 Documents that share a link should share a shard, and all shards should hold as many rows as one
-another. Linked documents start in shards by hash. In every round, joins tell each of them how many
+another. Linked documents start in runs of links, largest first, a shard's room after the other: prefix
+sums over links tell where each begins. In every round, joins tell each of them how many
 fellows every shard holds; it proposes to move where most are, ties broken by a hash of the link that
 all its fellows see alike. Proposals are admitted under quotas between pairs of shards: as many as go
 the other way, and a share of the room that the shard has left. Who goes first is told by gain and
@@ -36,6 +37,8 @@ HEAVY, SALTS = 1 / 2000, 64
 FILL = 0.98
 #: Buckets by link within a gain, for the order of admission.
 LINK_BUCKETS = 64
+#: Bits of a link that deal links of a size out, for the prefix sums of the start.
+RUN_BITS = 12
 
 
 def _heavy(counts: DataFrame, rows: int) -> DataFrame:
@@ -78,10 +81,28 @@ def _quotas(loads: DataFrame, asked: DataFrame, capacity: float, shards: int) ->
     return room.select("shard", "best", (F.col("swap") + F.floor(F.col("more") * share)).alias("quota"))
 
 
+def _start(linked: DataFrame, rows: int, shards: int) -> DataFrame:
+    """(row, link, shard): links side by side, by falling powers of two of their size; heavy links spread over what they span."""
+    sizes = linked.groupBy("link").agg(F.count(F.lit(1)).alias("n"))
+    groups = cut(sizes.withColumn("power", F.floor(F.log2(F.col("n"))).cast("int")).withColumn("part", F.shiftrightunsigned("link", 64 - RUN_BITS)))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = groups.groupBy("power", "part").agg(F.sum("n").alias("m"))
+    powers = parts.groupBy("power").agg(F.sum("m").alias("m"))  # some dozens
+    above = powers.select("power", F.coalesce(F.sum("m").over(Window.partitionBy().orderBy(F.col("power").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+    shifts = parts.select("power", "part", F.coalesce(F.sum("m").over(before("power", "part")), F.lit(0)).alias("beside")).join(F.broadcast(above), "power")
+    own = groups.withColumn("own", F.coalesce(F.sum("n").over(before("power", "part", "link")), F.lit(0)))
+    begins = own.join(shifts, ["power", "part"]).select("link", "n", (F.col("above") + F.col("beside") + F.col("own")).alias("begin"))
+    total, largest = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    room = max(1.0, total / shards, min(FILL * rows / shards, largest))
+    first = linked.groupBy("row").agg(F.min(F.struct("link", "salt")).alias("x")).select("row", "x.link", "x.salt")
+    placed = first.join(_salted(begins, rows), ["link", "salt"])
+    within = F.when(F.col("n") > max(2.0, rows * HEAVY), F.floor(uniform("row", F.lit("start")) * F.col("n"))).otherwise(0)
+    return placed.select("row", "link", F.least(F.floor((F.col("begin") + within) / room), F.lit(shards - 1)).cast("int").alias("shard"))
+
+
 def propagate(linked: DataFrame, rows: int, shards: int, seed: int = 12) -> DataFrame:
     """(row, link, shard) of the linked rows after propagation; ``rows`` counts all rows, linked or not."""
-    start = F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(shards)).cast("int")
-    place = cut(linked.groupBy("row").agg(F.min("link").alias("link")).withColumn("shard", start))
+    place = cut(_start(linked, rows, shards))
     total = place.count()
     capacity = FILL * rows / shards
     for turn in range(ROUNDS if total else 0):
