@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .storage import cut, rewritten
 
+#: Members of a bucket that stand in one cell where all of them are compared.
+CELL = 1024
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): for every id of ``edges`` the smallest id reachable.
@@ -81,7 +84,7 @@ def link_buckets(
     members = cut(members.join(features, "id").withColumn("label", F.col("id")))
     links = None
     for turn in range(rounds + 1):
-        spread = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+        spread = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
         x = members.alias("x")
         if turn < rounds:
             pick = F.min_by if turn == 0 else F.max_by
@@ -92,12 +95,17 @@ def link_buckets(
             y = pivots.alias("y")
             pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & near("x", "y"))
         else:
-            rest = members.join(spread.select("bucket"), "bucket")
+            # A bucket's members meet cell by cell: two cells of it are a task's work, however many there are.
+            rest = members.join(spread.select("bucket", F.ceil(F.col("n") / CELL).cast("int").alias("cells")), "bucket")
             if narrow:
                 rest = cut(rest)
                 rest = rest.join(narrow(rest.select("id").distinct()), "id")
+            rest = rest.withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+            rest = rest.withColumn("i", F.least("cell", "other")).withColumn("j", F.greatest("cell", "other"))
             x, y = rest.alias("x"), rest.alias("y")
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & (last or near)("x", "y"))
+            same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+            once = (F.col("x.i") == F.col("x.j")) | (F.col("x.cell") != F.col("y.cell"))
+            pairs = x.join(y, same & once & (F.col("x.label") < F.col("y.label")) & (last or near)("x", "y"))
         pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         found = cut(verify(pairs).select("a", "b"))
         links = found if links is None else links.unionByName(found)
