@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import running_sums
+
 K1, B, RRF_K = 1.5, 0.75, 60
 #: Rows of queries and of vectors that one comparison holds.
 QUERY_BLOCK, VECTOR_PART = 4096, 20_000
@@ -118,11 +120,15 @@ def diversify(df: DataFrame, group: list[str], source: str, position: str, per_s
 
 
 def rerank_tolerantly(df: DataFrame, group: list[str], position: str, verdict: str, top_n: int) -> DataFrame:
-    """Accepted rows (a verdict) by score and position, ``top_n`` at most, then the rest in order; nothing accepted: unchanged."""
+    """Accepted rows (a verdict) by score and position, ``top_n`` at most, then the rest in order; nothing accepted: unchanged.
+
+    Positions are unique in a group. The rest is placed by running counts over ranges of positions: no
+    task orders a whole group.
+    """
     scored = df.withColumn("__s", F.col(verdict).try_cast("double"))
     accepted = rank_by(scored.where("__s is not null"), group, [F.col("__s").desc(), F.col(position)], top_n, "place")
     most = accepted.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    rest = scored.where("__s is null").withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(position)).cast("long"))
+    rest = running_sums(scored.where("__s is null").withColumn("__one", F.lit(1)), group, position, {"__one": "place"}).withColumn("place", F.col("place") + 1)
     moved = rest.join(most, group, "left").withColumn("place", F.col("place") + F.coalesce("__n", F.lit(0))).drop("__n")
     return accepted.unionByName(moved.select(*accepted.columns)).drop("__s")
 
@@ -143,14 +149,20 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, label: bool = Fa
     asked = queries.where("v is not null").select(F.col("query_id").alias("id"), *fresh)
     held = vectors.where("v is not null").select(F.col("vec_id").alias("id"), *fresh)
 
+    own_label = ["label"] if label else []
+
     def pieces(df: DataFrame, rows: int, name: str) -> DataFrame:
-        return df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.lit(1)).cast("int").alias(name))
+        return df.groupBy(*own_label).agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.lit(1)).cast("int").alias(name))
 
-    counts = pieces(asked, block, "blocks").join(pieces(held, part, "parts"))  # one row
+    # One row, or one a label: queries of a label meet vectors of it alone, in as many tasks as it needs.
+    both = pieces(asked, block, "blocks"), pieces(held, part, "parts")
+    counts = both[0].join(both[1], "label") if label else F.broadcast(both[0].join(both[1]))
     dealt = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    q = asked.join(F.broadcast(counts)).withColumn("block", dealt("blocks")).withColumn("part", every("parts")).select("block", "part", *columns)
-    own = held.join(F.broadcast(counts)).withColumn("part", dealt("parts")).withColumn("block", every("blocks")).select("block", "part", *columns)
+    sized = lambda df: df.join(counts, "label") if label else df.join(counts)
+    q = sized(asked).withColumn("block", dealt("blocks")).withColumn("part", every("parts")).select(*[F.col(c).alias(c) for c in ("block", "part", *columns)])
+    own = sized(held).withColumn("part", dealt("parts")).withColumn("block", every("blocks")).select(*[F.col(c).alias(c) for c in ("block", "part", *columns)])
+    meet = [*own_label, "block", "part"]
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -160,17 +172,14 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, label: bool = Fa
             ids, theirs = left["id"].to_numpy(), right["id"].to_numpy()
             order = np.argsort(theirs, kind="stable")
             theirs, y = theirs[order], y[order]
-            marks = right["label"].to_numpy()[order] if label else None
             for lo in range(0, len(ids), 512):
                 score = np.round(x[lo : lo + 512] @ y.T, 6)
                 score[ids[lo : lo + 512, None] == theirs[None, :]] = -np.inf
-                if label:
-                    score[left["label"].to_numpy()[lo : lo + 512, None] != marks[None, :]] = -np.inf
                 top = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 kept = np.take_along_axis(score, top, axis=1)
                 at, place = np.nonzero(np.isfinite(kept))
                 out.append(pd.DataFrame({"query_id": ids[lo + at], "vec_id": theirs[top[at, place]], "score": kept[at, place]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
-    found = q.groupBy("block", "part").cogroup(own.groupBy("block", "part")).applyInPandas(best, "query_id long, vec_id long, score double")
+    found = q.groupBy(*meet).cogroup(own.groupBy(*meet)).applyInPandas(best, "query_id long, vec_id long, score double")
     return rank_by(found, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k).select("query_id", "vec_id", "rank", "score")

@@ -39,6 +39,20 @@ def nearest_ranks(df: DataFrame, group: list[str], value: str, shares: dict[str,
     return seen.groupBy(*group).agg(*[F.min(F.when(F.col("__upto") > place, F.col(value))).alias(name) for name, place in at.items()])
 
 
+def exact_quantiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, a column per share): quantiles by linear interpolation between the values at (n - 1) * share, from running counts by value."""
+    ranked = value_ranks(df.where(F.col(value).isNotNull()), group, value)
+    sizes = ranked.groupBy(*group).agg(F.sum("t").alias("__n"))
+    placed = ranked.join(F.broadcast(sizes)) if not group else ranked.join(sizes, group)
+    upto = F.col("below") + F.col("t")
+    bounds = []
+    for name, share in shares.items():
+        at = (F.col("__n") - 1) * share
+        bounds += [F.min(F.when(upto > F.floor(at), F.col(value))).alias(f"__lo_{name}"), F.min(F.when(upto > F.ceil(at), F.col(value))).alias(f"__hi_{name}"), F.max(at - F.floor(at)).alias(f"__w_{name}")]
+    found = placed.groupBy(*group).agg(*bounds)
+    return found.select(*group, *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__w_{n}")).alias(n) for n in shares])
+
+
 def snapshot_difference(now: DataFrame, then: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """(keys, values): what each key's values have grown by; a side that lacks a key counts 0, and rows of zeros are left out."""
     before = then.select(*keys, *[F.col(v).alias(f"__{v}") for v in values])

@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, checks, corpus, frame, measures, memory, reports, retrieval, rules
+from . import answers, checks, corpus, evaluation, frame, measures, memory, reports, retrieval, rules
 
-_MODULES = (corpus, retrieval, frame, measures, checks, memory, reports, answers, rules)
+_MODULES = (corpus, retrieval, frame, measures, checks, memory, reports, answers, rules, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators import stats
+
 from .base import Book
 
 book = Book()
@@ -21,10 +23,12 @@ from orders group by 1
 """)
 def frame_groupby(t):
     price = F.col("o_totalprice")
-    return t("orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(
+    o = t("orders").select(F.col("o_orderpriority").alias("priority"), "o_custkey", "o_totalprice")
+    middle = stats.exact_quantiles(o, ["priority"], "o_totalprice", {"median": 0.5}).select("priority", F.round("median", 4).alias("median"))
+    return o.groupBy("priority").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("customers"), F.round(F.sum(price), 2).alias("total"), F.round(F.avg(price), 4).alias("mean"), F.min(price).alias("least"),
-        F.max(price).alias("most"), F.round(F.stddev_samp(price), 3).alias("std"), F.round(F.var_samp(price) / 1e6, 3).alias("var_millions"), F.round(F.median(price), 4).alias("median"),
-    )
+        F.max(price).alias("most"), F.round(F.stddev_samp(price), 3).alias("std"), F.round(F.var_samp(price) / 1e6, 3).alias("var_millions"),
+    ).join(middle, "priority")
 
 
 @book.add("""
@@ -32,8 +36,10 @@ select l_returnflag as flag, round(quantile_cont(l_extendedprice, 0.1), 4) as p1
 from lineitem group by 1
 """)
 def frame_quantile(t):
-    p = F.percentile("l_extendedprice", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.95)))
-    return t("lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(p.alias("p")).select("flag", *[F.round(F.col("p")[i], 4).alias(c) for i, c in enumerate(("p10", "p50", "p95"))])
+    """From running counts by value: no group's values are gathered."""
+    rows = t("lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice")
+    found = stats.exact_quantiles(rows, ["flag"], "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p95": 0.95})
+    return found.select("flag", *[F.round(c, 4).alias(c) for c in ("p10", "p50", "p95")])
 
 
 @book.add("""
@@ -112,9 +118,14 @@ select c_mktsegment as segment, c_custkey as key, row_number() over (partition b
 """)
 def frame_sort_values(t):
     """Missing values come last, whatever the direction."""
-    value = F.when(F.col("c_custkey") % 9 != 0, F.col("c_acctbal"))
-    w = Window.partitionBy("c_mktsegment").orderBy(value.desc_nulls_last(), "c_custkey")
-    return t("customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("key"), F.row_number().over(w).cast("long").alias("place"))
+    value = F.when(F.col("c_custkey") % 9 != 0, -F.col("c_acctbal"))
+    # A place is the running count of what sorts before, over ranges of values, and the place among equals.
+    rows = t("customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("key"), value.alias("value"))
+    there, missing = rows.where("value is not null"), rows.where("value is null")
+    tie = F.row_number().over(Window.partitionBy("segment", "value").orderBy("key"))
+    first = there.withColumn("tie", tie).join(stats.value_ranks(there, ["segment"], "value"), ["segment", "value"]).select("segment", "key", (F.col("below") + F.col("tie")).cast("long").alias("place"))
+    behind = stats.value_ranks(missing, ["segment"], "key").join(there.groupBy("segment").agg(F.count(F.lit(1)).alias("n")), "segment", "left")
+    return first.unionByName(behind.select("segment", "key", (F.coalesce("n", F.lit(0)) + F.col("below") + 1).cast("long").alias("place")))
 
 
 @book.add("select min(event_id) as event_id, user_id, event_type from events group by user_id, event_type")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.sources.index_store import IndexStore
+from sparkloom.sources.scratch import shared_folder
 from sparkloom.streaming import batch
 
 from .base import Book
@@ -62,4 +66,20 @@ def breaker_calls(t):
     return batch.breaker_calls(breaker_events(t("events")), 3, 43_200).select("event_id", "found")
 
 
+@book.add("""
+with a as (select lang || '/' || source as src, count(*) as n, sum(doc_id) as m from documents where source not in ('src0', 'src1') or doc_id % 10 < 8 group by 1),
+b as (select lang || '/' || source as src, count(*) as n, sum(doc_id) as m from documents where source <> 'src2' group by 1)
+select doc_id, d.lang || '/' || d.source as source, case when a.n is not distinct from b.n and a.m is not distinct from b.m then 0 else 1 end as held from documents d join b on b.src = d.lang || '/' || d.source left join a on a.src = b.src where d.source <> 'src2'
+""")
+def index_sync(t):
+    """An index of documents by source, synchronised twice: some sources grow, one goes; what a version holds stays where it is."""
+    docs = t("documents").select(F.concat("lang", F.lit("/"), "source").alias("source"), F.col("source").alias("own"), "doc_id")
+    spark = docs.sparkSession
+    store = IndexStore(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    for corpus in (docs.where("own not in ('src0', 'src1') or doc_id % 10 < 8"), docs.where("own <> 'src2'")):
+        snapshot = corpus.groupBy("source").agg(F.concat(F.count(F.lit(1)), F.lit(":"), F.sum("doc_id")).alias("value"))
+        store.sync(snapshot, lambda wanted, corpus=corpus: corpus.join(wanted, "source", "left_semi").select("source", "doc_id"))
+    return store.nodes().join(store.manifest().select("source", "held"), "source").select("doc_id", "source", "held")
+
+
 QUERIES, SQL = book.queries, book.sql

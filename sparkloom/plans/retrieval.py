@@ -133,7 +133,10 @@ select lang, doc_id, place from (
       select lang, source, doc_id, row_number() over (partition by lang order by length(text) desc, doc_id) as pos from documents))) where place <= 30
 """)
 def diversity_cap(t):
-    placed = R.rank_by(t("documents"), ["lang"], [F.length("text").desc(), F.col("doc_id")], None, "pos")
+    """No more than 30 documents of a source can be among a language's first 30: each source is cut to these before languages are ordered."""
+    order = [F.length("text").desc(), F.col("doc_id")]
+    first = R.rank_by(t("documents").select("lang", "source", "doc_id", "text"), ["lang", "source"], order, 30, "own")
+    placed = R.rank_by(first, ["lang"], order, None, "pos")
     return R.diversify(placed, ["lang"], "source", "pos", 2, 30).select("lang", "doc_id", "place")
 
 
@@ -144,11 +147,40 @@ select source, doc_id, row_number() over (partition by source order by case when
 from a where s is null or a <= 10
 """)
 def tolerant_rerank(t):
-    d = R.rank_by(t("documents"), ["source"], [F.col("doc_id")], None, "pos")
-    d = d.withColumn("verdict", F.when(F.col("doc_id") % 3 == 0, F.round(F.length("text") / 100.0, 2).cast("string")).otherwise(F.lit("n/a")))
+    """Ids are positions: only their order counts."""
+    d = t("documents").withColumn("pos", F.col("doc_id")).withColumn("verdict", F.when(F.col("doc_id") % 3 == 0, F.round(F.length("text") / 100.0, 2).cast("string")).otherwise(F.lit("n/a")))
     return R.rerank_tolerantly(d, ["source"], "pos", "verdict", 10).select("source", "doc_id", "place")
 
 
+_VARIANTS = """
+v as (select item_id, unnest([text, substr(text, 1, length(text) // 2), substr(text, length(text) // 2 + 1)]) as text, unnest([0, 1, 2]) as variant from benchmark),
+vq as (select distinct item_id, variant, unnest({terms}) as term from v),
+lexical as (select * from (select item_id, variant, doc_id, row_number() over (partition by item_id, variant order by round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * length / mean))), 6) desc, doc_id) as rank
+  from vq join tf using (term) join df using (term) join lens using (doc_id), stats group by 1, 2, 3) where rank <= 80),
+near as (select * from (select a.vec_id as item_id, b.vec_id as doc_id, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) desc, b.vec_id) as rank
+  from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id in (select item_id from benchmark)) where rank <= 80)
+""".format(terms=_terms("text"))
+
+
+@book.add(f"""
+with {_BM25}, {_VARIANTS}, lists as (select item_id, doc_id, rank from lexical union all select item_id, doc_id, rank from near)
+select query_id, doc_id, score, place from (select *, row_number() over (partition by query_id order by score desc, doc_id) as place from (select item_id as query_id, doc_id, round(sum(1.0::double / (60 + rank)), 6) as score from lists group by 1, 2)) where place <= 80
+""")
+def hybrid_fusion(t):
+    """Vectors and BM25 fused, BM25 for the item's text and for either half of it; an item's vector is that of its id, a document's as well."""
+    n = F.length("text")
+    texts = F.array(F.col("text"), F.expr("substring(text, 1, length(text) div 2)"), F.expr("substring(text, length(text) div 2 + 1)"))
+    variants = t("benchmark").where(n > 0).select(F.col("item_id"), F.posexplode(texts).alias("variant", "said"))
+    key = F.struct("item_id", "variant")
+    terms = variants.select(key.alias("query_id"), F.explode(F.array_distinct(X.content_terms(F.col("said")))).alias("term")).distinct()
+    scores = R.lexical_scores(t("documents").select("doc_id", X.content_terms(F.col("text")).alias("terms")), terms)
+    lexical = R.rank_by(scores, ["query_id"], [F.col("score").desc(), F.col("doc_id")], 80).select(F.col("query_id.item_id").alias("query_id"), "doc_id", "rank")
+    e = t("embeddings").select("vec_id", F.col("embedding").alias("v"))
+    asked = e.join(t("benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "query_id")
+    near = R.vector_topk(asked, e, 80).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    return R.rank_by(R.fuse([lexical, near]), ["query_id"], [F.col("score").desc(), F.col("doc_id")], 80, "place").select("query_id", "doc_id", "score", "place")
+
+
 @book.add("""
 select user_id, (k - 1) // 30 as batch, count(*) as n, min(event_id) as first_event from (
   select user_id, event_id, row_number() over (partition by user_id order by event_id) as k from events) group by 1, 2
