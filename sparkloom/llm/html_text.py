@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Element names by their role in HTML.
-_RAW = frozenset("script style noscript template textarea title iframe svg math object select option canvas audio video".split())
+_RAW = frozenset("script style noscript template textarea title iframe svg select option canvas audio video".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup "
@@ -122,7 +123,9 @@ def blocks(page: str) -> Iterator[_Block]:
     stack: list[tuple[str, bool, bool, bool]] = []  # name, apart, inside main, hinted
     parts: list[str] = []
     links = in_link = 0
-    pos, n = 0, len(page)
+    pos, n, last = 0, len(page), page.rfind(">")
+    unended: set[str] = set()  # raw elements that no end tag follows any more
+    opened: Counter[str] = Counter()
 
     def flush() -> Iterator[_Block]:
         nonlocal links
@@ -134,9 +137,12 @@ def blocks(page: str) -> Iterator[_Block]:
         links = 0
 
     while pos < n:
-        m = _TOKEN.search(page, pos) if (at := page.find("<", pos)) >= 0 else None
-        if m and m.start() != at and (loose := _LOOSE.match(page, at)):
-            m = loose
+        # A bracket that begins no tag is text; behind the last closing bracket all is.
+        m, at = None, page.find("<", pos)
+        while 0 <= at < last and not (m := _TOKEN.match(page, at) or _LOOSE.match(page, at)):
+            at = page.find("<", at + 1)
+        if not m and (at := page.find("<!--", max(pos, last))) >= 0:
+            m = _TOKEN.match(page, at)
         text = page[pos : m.start() if m else n]
         if text:
             parts.append(text)
@@ -155,8 +161,10 @@ def blocks(page: str) -> Iterator[_Block]:
             in_link = 0 if closing else 1
             continue
         if name in _RAW and not closing:
-            if not m.group(3).endswith("/"):
+            if not m.group(3).endswith("/") and name not in unended:
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, pos)
+                if not end:
+                    unended.add(name)
                 pos = end.end() if end else (n if name in ("script", "style") else pos)
             continue
         if name in _BLOCK:
@@ -165,8 +173,9 @@ def blocks(page: str) -> Iterator[_Block]:
         if name in _VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[k][0] == name:
+                    opened.subtract(x[0] for x in stack[k:])
                     del stack[k:]
                     break
                 if name not in _BLOCK and stack[k][0] in _BLOCK:
@@ -175,11 +184,13 @@ def blocks(page: str) -> Iterator[_Block]:
         if name in _CLOSES_P and stack:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in ("p", name if name in ("li", "dt", "dd", "tr", "td", "th", "option") else "p"):
+                    opened.subtract(x[0] for x in stack[k:])
                     del stack[k:]
                     break
                 if stack[k][0] in _BLOCK:
                     break
         top = stack[-1] if stack else ("", False, False, False)
+        opened[name] += 1
         if name in _BLOCK or m.group(3):
             attributes = _attributes(m.group(3)) if m.group(3) else {}
             named = f"{attributes.get('class', '')} {attributes.get('id', '')}" if name in ("div", "section", "td") else ""
@@ -198,7 +209,13 @@ def _density(b: _Block) -> float:
 def _alone(b: _Block, density: float, known: bool) -> str:
     """First pass: good, bad, near (middling) or short. Where no block reads as a known language, density tells nothing."""
     n = len(b.text)
-    if b.apart or b.links > MAX_LINKS * n or "©" in b.text and n < LONG:
+    if b.apart:
+        return "bad"
+    if "©" in b.text and n < LONG and density < (STOP_LOW if b.inside else STOP_HIGH):
+        return "bad"  # a notice reads unlike a sentence that mentions one
+    if b.inside and n < SHORT and not b.heading and b.links:
+        return "short"  # a cell or an item of an article may be a link as a whole
+    if b.links > MAX_LINKS * n:
         return "bad"
     if b.heading:
         return "short"
