@@ -26,10 +26,6 @@ METRIC_TERMS = (
 TRUNCATED = "\n[conteúdo truncado]"
 
 
-def _array(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
 def fold(text: Column) -> Column:
     """Lower case without accents; null counts as empty."""
     return F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
@@ -53,12 +49,12 @@ def contains_word(text: Column, word: Column) -> Column:
 def content_terms(text: Column, least: int = 4) -> Column:
     """Letter runs of ``least`` or more, folded, without stop words; in order, repeats included."""
     found = F.regexp_extract_all(fold(text), F.lit(f"[a-z]{{{least},}}"), F.lit(0))
-    return F.filter(found, lambda t: ~F.array_contains(_array(STOPWORDS), t))
+    return F.filter(found, lambda t: ~t.isin(*STOPWORDS))
 
 
 def context_terms(text: Column) -> Column:
     found = F.regexp_extract_all(fold(text), F.lit("[a-z]{3,}"), F.lit(0))
-    return F.array_distinct(F.filter(found, lambda t: ~F.array_contains(_array(CONTEXT_STOPWORDS), t) | F.array_contains(_array(METRIC_TERMS), t)))
+    return F.array_distinct(F.filter(found, lambda t: ~t.isin(*CONTEXT_STOPWORDS) | t.isin(*METRIC_TERMS)))
 
 
 def sentences(text: Column, least: int = 24) -> Column:

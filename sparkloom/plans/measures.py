@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import numbers as N
-from sparkloom.operators import policy, state, stats, trees
+from sparkloom.operators import policy, state, stats, trees, usage
 
 from .base import Book
 
@@ -85,16 +85,40 @@ def usage_merge(t):
     return a.unionByName(b).groupBy("user_id").agg(F.sum("calls").alias("calls"), F.sum("chars").alias("chars"))
 
 
-@book.add("""
-with u as (select event_type as model, sum((length(props) + 3) // 4)::bigint as tokens, count(*) as calls from events group by 1),
-p(model, price) as (values ('click', 0.25::double), ('view', 1.5::double), ('error', 0.0::double))
-select model, tokens, calls, case when price is not null then round(tokens * price / 1000000, 9) end as cost from u left join p using (model)
+_USAGE = """
+c as (select event_type as model, ['generation', 'judge', 'probe', 'other'][user_id % 4 + 1] as bucket, case when event_id % 7 > 0 then length(props) * 3 end as prompt, case when event_id % 7 in (0, 1) then null else length(props) end as cached,
+  case when event_id % 7 = 0 then null when event_id % 5 = 0 then 0 else floor(value)::bigint end as completion, event_id % 7 = 0 as nothing from events),
+u as (select bucket, model, count(*) as calls, sum(coalesce(prompt, 0))::bigint as prompt, sum(coalesce(cached, 0))::bigint as cached, sum(coalesce(completion, 0))::bigint as completion, sum(nothing::int)::bigint as without from c group by 1, 2)
+"""
+
+
+def _usage(t):
+    """Events as calls of models in four buckets; what they report is text, some of it no count."""
+    k, n = F.col("event_id"), F.length("props")
+    text = lambda c: c.cast("string")
+    calls = t("events").select(
+        F.element_at(F.array(*map(F.lit, ("generation", "judge", "probe", "other"))), (F.col("user_id") % 4 + 1).cast("int")).alias("bucket"), F.col("event_type").alias("model"), F.when(k % 7 > 0, text(n * 3)).alias("prompt"),
+        F.when(~(k % 7).isin(0, 1), text(n)).alias("cached"), F.when(k % 7 == 0, None).when(k % 10 == 0, "-12").when(k % 5 == 0, "many").otherwise(text(F.col("value"))).alias("completion"),
+    )
+    return usage.accumulate(calls, ["bucket", "model"])
+
+
+@book.add(f"with {_USAGE} select * from u")
+def reported_usage(t):
+    """What calls report, added up; what is no count of 0 or more counts 0."""
+    return _usage(t)
+
+
+@book.add(f"""
+with {_USAGE}, p(model, fresh, kept, out) as (values ('click', 0.25::double, 0.025::double, 2.0::double), ('view', 1.5::double, 0.5::double, 6.0::double), ('error', 0.0::double, 0.0::double, 0.0::double))
+select bucket, sum(prompt + completion)::bigint as tokens, round(sum((prompt - cached) * fresh + cached * kept + completion * out) / 1000000, 9) as cost from u left join p using (model) where bucket <> 'other' or model = 'purchase' group by 1
 """)
 def usage_cost(t):
-    """Tokens times price; no price, no cost."""
-    u = t("events").groupBy(F.col("event_type").alias("model")).agg(F.sum(F.floor((F.length("props") + 3) / 4)).alias("tokens"), F.count(F.lit(1)).alias("calls"))
-    price = F.when(F.col("model") == "click", 0.25).when(F.col("model") == "view", 1.5).when(F.col("model") == "error", 0.0)
-    return u.select("model", "tokens", "calls", F.round(F.col("tokens") * price / 1_000_000, 9).alias("cost"))
+    """Cost by bucket with three prices a model; a bucket of models without a price has none."""
+    spark = t("events").sparkSession
+    prices = spark.createDataFrame([("click", 0.25, 0.025, 2.0), ("view", 1.5, 0.5, 6.0), ("error", 0.0, 0.0, 0.0)], "model string, fresh double, cached_price double, out double")
+    found = usage.cost(_usage(t).where("bucket <> 'other' or model = 'purchase'"), prices, ["bucket"])
+    return found.select("bucket", "tokens", F.round("cost", 9).alias("cost"))
 
 
 @book.add("""

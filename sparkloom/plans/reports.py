@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import numbers as N
+from sparkloom.operators import cited_tables as G
 from sparkloom.operators import citations as C
 from sparkloom.operators import table_sources as T
 
@@ -166,4 +167,23 @@ def linked_citations(t):
     return C.link_citations(text, _cited(t, text), "answer_id")
 
 
+@book.add("""
+with o as (select o_orderkey as key, year(o_orderdate) as y, o_orderpriority as priority, translate(format('{:,.2f}', round(o_totalprice, 2)), ',.', '.,') as price from orders)
+select key, case when key % 5 = 0 then null when key % 5 in (1, 2) then 'grid' else 'key-value' end as kind, case key % 5 when 1 then 'valor' when 2 then 'Coluna 3' when 3 then priority when 4 then 'Total de ' || y end as subject,
+  case key % 5 when 1 then 'pedido=' || key || ';ano=' || y when 2 then 'Coluna 1=' || key || ';Coluna 2=' || y when 3 then 'Ano=' || y when 4 then 'Setor=' || priority || ';Ano=' || y end as qualifiers from o
+""")
+def cited_cells(t):
+    """What a cited price is the value of: in grids with and without a rule, in lists with a generic and a telling label, and in prose."""
+    o = _orders(t)
+    grid = F.format_string("| pedido | ano | valor |\n|---|:---:|---|\n| 0 | 0 | 0 |\n| %d | %d | %s |", "key", "year", "price")
+    bare = F.format_string("%d | %d | %s\n0|0|0", "key", "year", "price")
+    generic = F.format_string("Setor: %s\nValor: %s\nAno: %d\nFonte: x.pdf", "priority", "price", "year")
+    telling = F.format_string("Setor: %s\n Total de %d : %s\r\nAno: %d\n:x\nvazio:", "priority", "year", "price", "year")
+    k = F.col("key") % 5
+    shown = F.when(k == 1, grid).when(k == 2, bare).when(k == 3, generic).when(k == 4, telling).otherwise(F.format_string("Foi de %s", "price"))
+    told = G.tell_cells(G.read_snippets(o.select("key", "price", shown.alias("text")), "text"), "price")
+    joined = F.array_join(F.transform("qualifiers", lambda q: F.concat(q["label"], F.lit("="), q["value"])), ";")
+    return told.select("key", "kind", "subject", joined.alias("qualifiers"))
+
+
 QUERIES, SQL = book.queries, book.sql
