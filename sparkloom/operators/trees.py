@@ -45,7 +45,7 @@ def mean_members(grouped: DataFrame) -> DataFrame:
     return places.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("v"))  # a vector's places
 
 
-def build_tree(nodes: DataFrame, summarise: Callable[[DataFrame], DataFrame], levels: int = LEVELS, least: int = LEAST_NODES, restarts: int = 3) -> tuple[DataFrame, DataFrame]:
+def build_tree(nodes: DataFrame, summarise: Callable[[DataFrame], DataFrame], levels: int = LEVELS, least: int = LEAST_NODES, restarts: int = RESTARTS) -> tuple[DataFrame, DataFrame]:
     """(all nodes with their level, edges parent to child) of (node_id string, v) leaves.
 
     ``summarise`` makes (cluster, node_id, v) of clustered nodes: the model's place. Levels end

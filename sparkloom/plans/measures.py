@@ -365,7 +365,7 @@ def entity_degrees(t):
 def kmeans_tree(t):
     """Levels of clusters over the vectors: (level, nodes, edges up). Tests hold its invariants."""
     leaves = t("embeddings").where("embedding is not null").select(F.col("vec_id").cast("string").alias("node_id"), F.col("embedding").alias("v"))
-    nodes, edges = trees.build_tree(leaves, trees.mean_members, restarts=1)
+    nodes, edges = trees.build_tree(leaves, trees.mean_members)
     up = edges.groupBy(F.col("child_id").alias("node_id")).agg(F.count(F.lit(1)).alias("parents"))
     return nodes.join(up, "node_id", "left").groupBy("level").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.coalesce("parents", F.lit(0))).alias("edges"))
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import contexts, evaluation, rank, stats
+from sparkloom.operators import cited_tables, contexts, evaluation, rank, stats, usage
 
 
 def one(spark, build, *values):
@@ -99,3 +99,26 @@ def test_rerank_without_verdicts(spark):
     for r in rank.rerank_tolerantly(rows, ["g"], "pos", "v", 2).collect():
         found.setdefault(r["g"], []).append((r["place"], r["pos"]))
     assert sorted(found["s"]) == [(1, 3), (2, 4), (3, 1), (4, 2)] and sorted(found["t"]) == [(1, 0), (2, 1)]
+
+
+@pytest.mark.parametrize(
+    "text, value, kind, subject, qualifiers",
+    [
+        ("| a | b |\n|---|:---|\n| 1 | 2 |\n| 3 | 4,5 |", "4,5", "grid", "b", [("a", "3")]), ("1 | 2\n3 | 4", "4", "grid", "Coluna 2", [("Coluna 1", "3")]), ("| a | b |\n|---|---|", "a", None, None, None),
+        ("Valor: 7\nRegião: Sul\nAno: 2020\nFonte: x", "7", "key-value", "Sul", [("Ano", "2020")]), ("Valor: 7\nAno: 2020", "7", "key-value", "Valor", [("Ano", "2020")]), ("Taxa: 7: 8\n:x\ny:", "7: 8", "key-value", "Taxa", []),
+        ("Taxa: 7", "9", "key-value", None, None), ("prosa", "1", None, None, None), ("", "1", None, None, None), (None, "1", None, None, None),
+    ],
+)
+def test_cited_cells(spark, text, value, kind, subject, qualifiers):
+    df = spark.createDataFrame([(text, value)], "text string, value string")
+    got = cited_tables.tell_cells(cited_tables.read_snippets(df, "text"), "value").first()
+    told = None if got["qualifiers"] is None else [(q["label"], q["value"]) for q in got["qualifiers"]]
+    assert (got["kind"], got["subject"], told) == (kind, subject, qualifiers)
+
+
+def test_usage(spark):
+    calls = spark.createDataFrame([("g", "m", "10", "4", "2"), ("g", "m", "x", None, "-3"), ("g", "n", None, None, None), ("j", "n", "7", "0", "1.9")], "bucket string, model string, prompt string, cached string, completion string")
+    found = usage.accumulate(calls, ["bucket", "model"])
+    assert {tuple(r) for r in found.collect()} == {("g", "m", 2, 10, 4, 2, 0), ("g", "n", 1, 0, 0, 0, 1), ("j", "n", 1, 7, 0, 1, 0)}
+    prices = spark.createDataFrame([("m", 1.0, 0.5, 3.0)], "model string, fresh double, cached_price double, out double")
+    assert {tuple(r) for r in usage.cost(found, prices, ["bucket"]).collect()} == {("g", 12, (6 * 1.0 + 4 * 0.5 + 2 * 3.0) / 1e6), ("j", 8, None)}
