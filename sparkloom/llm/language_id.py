@@ -51,7 +51,7 @@ def training_dictionaries(labelled: DataFrame, text_col: str, lang_col: str, key
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * docs / n))])
-    drawn = rows.where(F.col("u") < share[F.col("lang")]).orderBy("lang", "u").select("lang", "text")
+    drawn = rows.where(F.col("u") < share[F.col("lang")]).orderBy("lang", "u").select("lang", F.substring("text", 1, dict_bytes).alias("text"))  # no more of a text could be kept
     out: dict[str, bytearray] = {}
     for r in drawn.toLocalIterator():
         have = out.setdefault(r["lang"], bytearray())
