@@ -47,16 +47,21 @@ def sources(t: Tables) -> DataFrame:
     return told.select("answer_id", F.col("year").cast("long").alias("source_id"), F.concat(F.lit("Pedidos: "), "x").alias("text"), F.format_string("dir/pedidos_de-%d.pdf", "year").alias("file"), (F.col("year") % 10).cast("string").alias("page"), F.lit("table").alias("type"))
 
 
-def checks(t: Tables, text: DataFrame) -> DataFrame:
-    """(answer_id, start, end, raw, verified, derived, source_id) of the price of every order that a source tells of."""
+def places(t: Tables, text: DataFrame, which: str = "true") -> DataFrame:
+    """(answer_id, key, start, end, raw, verified, derived, source_id, text) of the price of every order, or of those that ``which`` holds for."""
     row = F.concat(F.lit("| "), F.col("key").cast("string"), F.lit(" | "), F.col("year").cast("string"), F.lit(" | "))
-    placed = _orders(t).join(text, "answer_id").withColumn("at", F.expr("locate(concat('\n| ', key, ' | ', year, ' | '), text)") + F.length(row))
+    placed = _orders(t).where(which).join(text, "answer_id").withColumn("at", F.expr("locate(concat('\n| ', key, ' | ', year, ' | '), text)") + F.length(row))
     return placed.select(
-        "answer_id", F.col("at").cast("long").alias("start"), (F.col("at") + F.length("price")).cast("long").alias("end"), F.col("price").alias("raw"), (F.col("key") % 5 != 0).alias("verified"), (F.col("key") % 7 == 0).alias("derived"),
-        F.when(F.col("key") % 5 != 0, F.col("year").cast("long")).alias("source_id"),
+        "answer_id", "key", F.col("at").cast("long").alias("start"), (F.col("at") + F.length("price")).cast("long").alias("end"), F.col("price").alias("raw"), (F.col("key") % 5 != 0).alias("verified"), (F.col("key") % 7 == 0).alias("derived"),
+        F.when(F.col("key") % 5 != 0, F.col("year").cast("long")).alias("source_id"), "text",
     )
 
 
+def checks(t: Tables, text: DataFrame) -> DataFrame:
+    """(answer_id, start, end, raw, verified, derived, source_id) of the price of every order that a source tells of."""
+    return places(t, text).drop("key", "text")
+
+
 _BASE = r"""
 o as (select o_custkey as answer_id, o_orderkey as key, year(o_orderdate) as y, o_orderpriority as priority, translate(format('{:,.2f}', round(o_totalprice, 2)), ',.', '.,') as price from orders),
 a as (select answer_id, 'Cliente ' || answer_id || ': ' || n || ' pedidos.' || chr(10) || chr(10) || '| pedido | ano | valor |' || chr(10) || '|---|---|---|' || chr(10) || x || chr(10) || chr(10) || 'Por prioridade, com – e 𝟛:' || chr(10) || '| prioridade | pedidos |' || chr(10) || '|---|---|' || chr(10) || z || chr(10) || 'Fim de ' || answer_id || '.' as text
@@ -132,10 +137,9 @@ select c.answer_id, c.key, c.start + coalesce(sum(length(note)), 0)::bigint as s
 def shifted_checks(t):
     """Where the checked numbers stand once the notes are in."""
     text = answers(t)
-    own = checks(t, text)
+    own = places(t, text)
     notes = T.source_notes(text, own, sources(t), "answer_id")
-    spans = own.join(_orders(t).select("answer_id", "key", F.col("price").alias("raw")), ["answer_id", "raw"])
-    return T.shift_spans(spans, notes, "answer_id").select("answer_id", "key", "start", "end")
+    return T.shift_spans(own, notes, "answer_id").select("answer_id", "key", "start", "end")
 
 
 def _cited(t: Tables, text: DataFrame) -> DataFrame:
