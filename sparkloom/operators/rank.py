@@ -12,34 +12,48 @@ from .stats import running_sums
 K1, B, RRF_K = 1.5, 0.75, 60
 #: Rows of queries and of vectors that one comparison holds.
 QUERY_BLOCK, VECTOR_PART = 4096, 20_000
+#: Documents that one bucket of a lexical search holds, and how many buckets there are at least.
+BUCKET, LEAST_BUCKETS = 4096, 16
+#: Terms of queries that are broadcast; more are joined by shuffle. What stands beside a document's terms for the document.
+BROADCAST_TERMS, MARK = 500_000, "\x00"
 
 
-def lexical_scores(documents: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, score, overlap) of every document that shares a term with a query.
+def lexical_scores(documents: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, forms: DataFrame | None = None) -> DataFrame:
+    """(bucket, query_id, doc_id, score, overlap) of every document that shares a term with a query.
 
-    documents: (doc_id, terms array); queries: (query_id, term) distinct. ``score`` is BM25,
-    ``overlap`` the number of shared terms over the root of the document's length. Only terms that
-    queries have leave the scan; one shuffle brings a document's together, and what follows
-    (frequencies, weights, sums) stays in its partition where the query side is small enough for
-    Spark to broadcast. Document frequencies come from the same shuffle.
+    documents: (doc_id, terms array); queries: (query_id, term) distinct; ``forms`` (word, term), if given, says
+    which words of documents stand for a term. ``score`` is BM25, ``overlap`` the number of shared terms over
+    the root of the document's length. Only terms that queries have leave the scan. One shuffle deals documents
+    into buckets of about ``BUCKET`` and what follows (frequencies, weights, sums, first ranks) stays there, where
+    the query side is small enough for Spark to broadcast: a task's memory doesn't grow with the table.
+    Document frequencies come from the same shuffle.
     """
+    buckets = max(LEAST_BUCKETS, -(-documents.count() // BUCKET))
+    small = F.broadcast if queries.count() <= BROADCAST_TERMS else lambda df: df
     held = documents.where(F.size("terms") > 0).select("doc_id", "terms", F.size("terms").alias("length"))
-    stats = held.agg(F.count(F.lit(1)).alias("documents"), F.avg("length").alias("mean"))  # one row
+    # Every document brings a mark beside its terms: the table's figures come from the same shuffle, texts are read once.
+    words = held.select("doc_id", "length", F.explode(F.concat(F.array(F.lit(MARK)), "terms")).alias("word"))
     asked = queries.select("term").distinct()
-    found = held.select("doc_id", "length", F.explode("terms").alias("term")).join(asked, "term", "left_semi").repartition("doc_id")
-    counted = found.groupBy("doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
-    frequency = counted.groupBy("term").agg(F.count("length").alias("df")).join(F.broadcast(stats))
+    forms = asked.select(F.col("term").alias("word"), "term") if forms is None else forms.join(asked, "term", "left_semi").select("word", "term")
+    mark = queries.sparkSession.range(1).select(F.lit(MARK).alias("word"), F.lit(MARK).alias("term"))
+    words = words.join(small(forms.unionByName(mark)), "word")
+    found = words.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), "doc_id", "length", "term").repartition(buckets, "bucket")
+    counted = found.groupBy("bucket", "doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+    frequency = counted.groupBy("term").agg(F.count("length").alias("df"), F.sum("length").alias("total"))
+    of_mark = lambda c: F.max(F.when(F.col("term") == MARK, F.col(c)))
+    stats = frequency.agg(of_mark("df").alias("documents"), (of_mark("total") / of_mark("df")).alias("mean"))  # one row
     idf = F.log(1 + (F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = queries.join(frequency.select("term", idf.alias("idf"), "mean"), "term")
+    terms = queries.join(frequency.join(F.broadcast(stats)).select("term", idf.alias("idf"), "mean"), "term")
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     shared = F.round(F.count(F.lit(1)) / F.sqrt(F.max("length")), 6)
-    return counted.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"), shared.alias("overlap"))
+    return counted.join(small(terms), "term").groupBy("bucket", "query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"), shared.alias("overlap"))
 
 
-def ranked_lists(scores: DataFrame, columns: list[str], limit: int, buckets: int = 64) -> DataFrame:
+def ranked_lists(scores: DataFrame, columns: list[str], limit: int) -> DataFrame:
     """(query_id, doc_id, a rank per column) of rows among the first ``limit`` of their query in some column; ranks beyond are null.
 
-    Documents of a query compete within buckets first, so that a query with very many of them is no single task's work.
+    Documents of a query compete within the buckets that ``scores`` has them in first, so that a query with very many of
+    them is no single task's work and few of them are shuffled.
     """
     order = {c: [F.col(c).desc(), F.col("doc_id")] for c in columns}
 
@@ -48,7 +62,7 @@ def ranked_lists(scores: DataFrame, columns: list[str], limit: int, buckets: int
             df = df.withColumn(f"{c}_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order[c])).cast("long"))
         return df.where(F.least(*[f"{c}_rank" for c in columns], F.lit(limit + 1)) <= limit)
 
-    first = keep(scores.withColumn("__bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))), ["query_id", "__bucket"]).drop("__bucket", *[f"{c}_rank" for c in columns])
+    first = keep(scores, ["bucket", "query_id"]).drop("bucket", *[f"{c}_rank" for c in columns])
     final = keep(first, ["query_id"])
     return final.select("query_id", "doc_id", *[F.when(F.col(f"{c}_rank") <= limit, F.col(f"{c}_rank")).alias(f"{c}_rank") for c in columns])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import swaps as W
 from sparkloom.functions import text as X
-from sparkloom.functions.stemmer import with_stems
+from sparkloom.functions.stemmer import distinct_stems, with_stems
 from sparkloom.operators import chains, rank, recovery
 
 from .base import Book
@@ -155,10 +155,11 @@ def trimmed_answers(t):
 @book.add()
 def stemmed_bm25(t):
     """BM25 over Portuguese stems: each distinct term is stemmed once. Tests hold it against a plain walk."""
-    terms = t("documents").select("doc_id", F.explode(X.content_terms(F.col("text"), least=2)).alias("term"))
-    stems = with_stems(terms, "term").groupBy("doc_id").agg(F.collect_list("stem").alias("terms"))  # a document's own terms
+    documents = t("documents").select("doc_id", X.content_terms(F.col("text"), least=2).alias("terms"))
     asked = with_stems(query_terms(t, least=2), "term").select("query_id", F.col("stem").alias("term")).distinct()
-    scores = rank.lexical_scores(stems, asked)
+    # Only the words that stand for an asked stem are kept, and documents are never put together again.
+    words = distinct_stems(documents.select(F.explode("terms").alias("word")), "word", "term")
+    scores = rank.lexical_scores(documents, asked, forms=words)
     return rank.rank_by(scores, ["query_id"], [F.col("score").desc(), F.col("doc_id")], 80).select("query_id", "doc_id", "rank", "score")
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Row
 
 import sparkloom.plans as plans
+from sparkloom.operators import rank
 
 
 @pytest.fixture(scope="module")
@@ -23,3 +24,14 @@ def test_equal_prices(spark, twice, name):
     said = con.execute(plans.oracle_sql()[name])
     names = [x[0] for x in said.description]
     assert sorted(map(str, found.select(*names).collect())) == sorted(str(r) for r in (Row(**dict(zip(names, x))) for x in said.fetchall()))
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "rrf_fusion", "stemmed_bm25"])
+def test_lexical_search_in_buckets(spark, small, monkeypatch, name):
+    """Small buckets and a query side joined by shuffle give the same ranks; pairs are ranked within buckets before any of them is shuffled."""
+    whole = plans.queries()[name](spark, small)
+    monkeypatch.setattr(rank, "BUCKET", 10)
+    monkeypatch.setattr(rank, "BROADCAST_TERMS", 0)
+    assert sorted(map(tuple, plans.queries()[name](spark, small).collect())) == sorted(map(tuple, whole.collect()))
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "bucket#" in plan and plan.count("RepartitionByExpression [bucket#") == plan.count("RepartitionByExpression") > 0
