@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,32 +27,30 @@ def window_counts(events: DataFrame, key: str, ts: str, seconds: int) -> DataFra
 def admit(events: DataFrame, key: str, ts: str, limit: int, seconds: int) -> DataFrame:
     """Adds ``admitted``: at most ``limit`` admitted events in a sliding window; refused ones leave no trace.
 
-    Admission depends on earlier admissions, so a key is walked in order. Long keys are first cut
-    where ``seconds`` pass without an event: nothing reaches across such a gap.
+    Admission depends on earlier admissions, so a key is walked in order. A key's events pass in batches
+    of bounded size; only the ``limit`` times that may count are held.
     """
-    import pandas as pd
-
-    order = Window.partitionBy(key).orderBy(ts, "event_id")
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    gap = F.coalesce((micros - F.lag(micros).over(order) > seconds * 1_000_000).cast("int"), F.lit(0))
-    cut = events.withColumn("__m", micros).withColumn("__gap", gap).withColumn("__run", F.sum("__gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    schema = events.schema.simpleString()[len("struct<") : -1] + ",admitted:boolean"
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        from collections import deque
-
-        rows = rows.sort_values(["__m", "event_id"])
-        held, verdicts = deque(), []
-        for at in rows["__m"]:
-            while held and at - held[0] > seconds * 1_000_000:
-                held.popleft()
-            verdicts.append(len(held) < limit)
-            if verdicts[-1]:
-                held.append(at)
-        rows["admitted"] = verdicts
-        return rows.drop(columns=["__m", "__gap", "__run"])
-
-    return cut.groupBy(key, "__run").applyInPandas(walk, schema)
+    import pyarrow as pa
+
+    walked = events.withColumn("__m", F.unix_micros(F.col(ts).cast("timestamp"))).repartition(key).sortWithinPartitions(key, F.col("__m").asc_nulls_last(), "event_id")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = object(), deque()
+        for batch in batches:
+            verdicts = []
+            for own, at in zip(batch.column(key).to_pylist(), batch.column("__m").to_pylist()):
+                if own != last:
+                    last, held = own, deque()
+                at = float("nan") if at is None else at  # no time: it drops none
+                while held and at - held[0] > seconds * 1_000_000:
+                    held.popleft()
+                verdicts.append(len(held) < limit)
+                if verdicts[-1]:
+                    held.append(at)
+            yield batch.select(names).append_column("admitted", pa.array(verdicts, pa.bool_()))
+
+    names = events.columns
+    return walked.mapInArrow(walk, events.withColumn("admitted", F.lit(True)).schema)
 
 
 def breaker_runs(events: DataFrame, key: str, order_by: list[str], failed: str, threshold: int) -> DataFrame:

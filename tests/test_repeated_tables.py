@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Row
 
 import sparkloom.plans as plans
-from sparkloom.operators import rank
+from sparkloom.operators import rank, state
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +35,11 @@ def test_lexical_search_in_buckets(spark, small, monkeypatch, name):
     assert sorted(map(tuple, plans.queries()[name](spark, small).collect())) == sorted(map(tuple, whole.collect()))
     plan = whole._jdf.queryExecution().optimizedPlan().toString()
     assert "bucket#" in plan and plan.count("RepartitionByExpression [bucket#") == plan.count("RepartitionByExpression") > 0
+
+
+def test_admission_walks_in_batches(spark):
+    rows = [(1, 7, "2024-01-01 00:00:00"), (2, 7, "2024-01-01 10:00:00"), (3, 7, "2024-01-01 23:00:00"), (4, 7, "2024-01-02 00:00:01"), (5, None, "2024-01-01 00:00:00"), (6, 8, None)]
+    events = spark.createDataFrame(rows, "event_id int, user_id int, at string").selectExpr("event_id", "user_id", "cast(at as timestamp) as ts")
+    found = state.admit(events, "user_id", "ts", 2, 86_400)
+    assert {r["event_id"]: r["admitted"] for r in found.collect()} == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True}
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
