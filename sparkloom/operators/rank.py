@@ -18,25 +18,24 @@ BUCKET, LEAST_BUCKETS = 4096, 16
 BROADCAST_TERMS, MARK = 500_000, "\x00"
 
 
-def lexical_scores(documents: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, forms: DataFrame | None = None) -> DataFrame:
+def lexical_scores(documents: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, size: int | None = None) -> DataFrame:
     """(bucket, query_id, doc_id, score, overlap) of every document that shares a term with a query.
 
-    documents: (doc_id, terms array); queries: (query_id, term) distinct; ``forms`` (word, term), if given, says
-    which words of documents stand for a term. ``score`` is BM25, ``overlap`` the number of shared terms over
+    documents: (doc_id, terms array); queries: (query_id, term) distinct; ``size``: about how many documents
+    there are, counted if not given. ``score`` is BM25, ``overlap`` the number of shared terms over
     the root of the document's length. Only terms that queries have leave the scan. One shuffle deals documents
     into buckets of about ``BUCKET`` and what follows (frequencies, weights, sums, first ranks) stays there, where
     the query side is small enough for Spark to broadcast: a task's memory doesn't grow with the table.
     Document frequencies come from the same shuffle.
     """
-    buckets = max(LEAST_BUCKETS, -(-documents.count() // BUCKET))
+    buckets = max(LEAST_BUCKETS, -(-(documents.count() if size is None else size) // BUCKET))
     small = F.broadcast if queries.count() <= BROADCAST_TERMS else lambda df: df
     held = documents.where(F.size("terms") > 0).select("doc_id", "terms", F.size("terms").alias("length"))
     # Every document brings a mark beside its terms: the table's figures come from the same shuffle, texts are read once.
-    words = held.select("doc_id", "length", F.explode(F.concat(F.array(F.lit(MARK)), "terms")).alias("word"))
+    words = held.select("doc_id", "length", F.explode(F.concat(F.array(F.lit(MARK)), "terms")).alias("term"))
     asked = queries.select("term").distinct()
-    forms = asked.select(F.col("term").alias("word"), "term") if forms is None else forms.join(asked, "term", "left_semi").select("word", "term")
-    mark = queries.sparkSession.range(1).select(F.lit(MARK).alias("word"), F.lit(MARK).alias("term"))
-    words = words.join(small(forms.unionByName(mark)), "word")
+    mark = queries.sparkSession.range(1).select(F.lit(MARK).alias("term"))
+    words = words.join(small(asked.unionByName(mark)), "term", "left_semi")
     found = words.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), "doc_id", "length", "term").repartition(buckets, "bucket")
     counted = found.groupBy("bucket", "doc_id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
     frequency = counted.groupBy("term").agg(F.count("length").alias("df"), F.sum("length").alias("total"))

@@ -158,7 +158,7 @@ def stemmed_bm25(t):
     terms = t("documents").select("doc_id", F.explode(X.content_terms(F.col("text"), least=2)).alias("term"))
     stems = with_stems(terms, "term").groupBy("doc_id").agg(F.collect_list("stem").alias("terms"))  # a document's own terms
     asked = with_stems(query_terms(t, least=2), "term").select("query_id", F.col("stem").alias("term")).distinct()
-    scores = rank.lexical_scores(stems, asked)
+    scores = rank.lexical_scores(stems, asked, size=t("documents").count())
     return rank.rank_by(scores, ["query_id"], [F.col("score").desc(), F.col("doc_id")], 80).select("query_id", "doc_id", "rank", "score")
 
 
