@@ -11,14 +11,11 @@ dealt into shares by their hash, and every share has a SimHash block of 64 bits
 replaced touches two blocks at most, so lines that differ in few words agree in whole blocks
 (pigeonhole), however long the edited word is. The number of shares follows the number of features:
 a power of two, about ``WORDS_A_BLOCK`` words each; lines near the step to the next power have both
-layouts. The first ``BLOCKS`` shares that hold a feature make blocks. Lines of one block stand sorted by the block that follows and meet their neighbours in that
-order. Where more lines than ``CROWD`` share both blocks they meet the first of them, which settles groups of
-copies in a row each, and go on with longer runs of blocks, four and eight, until the crowd is gone
-or agrees in all. Lines that meet are compared by length and whole SimHash, then by edit
-distance. Lines of a crowd share most of their words (a template) and their own few words may be
-edited in every run that holds them: all crowded lines are also sorted by their letters, from the front
-and from the back, and each is compared with those that follow it. What tells a line from the others of
-its crowd stands before an edit or behind it.
+layouts. The first ``BLOCKS`` shares that hold a feature make blocks. All lines of a block are compared by
+length and whole SimHash, then by edit distance. Up to ``CROWD`` lines do so at once. Of a larger crowd
+those that stand near in order of the block that follows do, and where many agree in both blocks, with the
+first of them, which settles groups of copies in a row each; then all lines of the crowd that are not in
+one group yet, in cells of bounded size: no crowd is too large for its pairs to be found.
 
 Lines without a word (blank lines, rules) are always kept. Null texts stay null, a text that loses
 all its lines becomes empty; rows are never dropped, and an empty table gives an empty table. Rows
@@ -35,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -55,13 +52,19 @@ LONG_WORDS = 20
 STEP = 0.07
 #: Whole SimHashes of a link differ in so many of their 120 bits at most.
 MAX_BITS = 28
-#: Lines of crowds are compared with so many that follow them in either order of their letters.
-FOLLOWING = 4
-#: Members of a crowd that stand in one cell where all of them are compared.
-CELL = 512
+#: Members of a crowd that stand in one cell, where all of them are compared, and how many cells a length may have.
+CELL, MOST_CELLS = 16384, 1 << 20
+#: Bytes of a normalised line that a cell holds; longer ones are looked up pair by pair. Slots for pairs of letters.
+LONG_TEXT, PAIR_SLOTS = 2000, 256
+#: Close pairs a line up to which a group lists them.
+DENSE = 16
+#: Sixteenths of a doubling that lengths of one cell span: more than those of a link do.
+BAND = 4
+#: Rows and columns of a cell's comparisons that are held at once.
+TILE = 128, 1024
 #: Rows that one Arrow batch of line pairs holds: lines may be long.
 PAIR_ROWS = 500
-#: Lines that share a block meet one another up to this number; a larger crowd meets its first line and needs longer runs of blocks.
+#: Lines that share a block meet one another at once up to this number; larger crowds meet after their near copies have become groups.
 CROWD = 16
 #: Keys that a task remembers, so as to describe a line that it meets again once; others are folded later.
 REMEMBERED = 1 << 18
@@ -285,42 +288,45 @@ def _close(h1: tuple[np.ndarray, np.ndarray], h2: tuple[np.ndarray, np.ndarray])
 
 
 def meetings(members: DataFrame) -> DataFrame:
-    """(crowd, a, b) of lines (bucket, next, id, h1, h2) that are close and share a bucket.
+    """(a, b, bucket, h1, h2): close lines (a, b) that stand near one another in a bucket of (bucket, next, id, h1, h2), and every line a of a crowded bucket, with null b.
 
-    Within a bucket, sorted by ``next``, a line meets the ``CROWD`` - 1 after it. Where more share
-    ``next`` as well, each meets the first of them and is handed on as (next, id, null). One shuffle
-    and sort by bucket; rows stream by in batches, and of an open bucket only the last few rows are
-    held, so any bucket passes in bounded memory. Rows that repeat are one.
+    Within a bucket, sorted by ``next``, a line meets the ``CROWD`` - 1 after it; where more lines than ``CROWD``
+    share ``next`` as well, each meets the first of them. That is all of a bucket's pairs up to ``CROWD`` lines;
+    lines of larger ones are handed on, for ``crowd_pairs``. One shuffle and sort by bucket; rows stream by in
+    batches, and of an open bucket only the last few rows are held, so any bucket passes in bounded memory.
+    Rows that repeat are one.
     """
     fields = ("bucket", "next", "id", "h1", "h2")
+    names = ["a", "b", "bucket", "h1", "h2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the last rows seen
         seen = 0  # how many of them have met those before them already
         head: list[int] | None = None  # the first row of the crowd that the first of them stands in
+        waiting: list[np.ndarray] | None = None  # rows of the open bucket while it is small
+        large: int | None = None  # the open bucket once it is crowded
 
-        def rows(crowds: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-            other = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)
-            return pa.RecordBatch.from_arrays([pa.array(crowds), pa.array(a), other], names=["crowd", "a", "b"])
+        def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(a), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), none, none, none], names=names)
 
         def near(t: list[np.ndarray], x: np.ndarray, u: list[np.ndarray], y: np.ndarray) -> np.ndarray:
             return _close((t[3][x].view(np.uint64), u[3][y].view(np.uint64)), (t[4][x].view(np.uint64), u[4][y].view(np.uint64)))
 
-        def met(t: list[np.ndarray], heads: list[np.ndarray], large: np.ndarray, done: int, end: int) -> Iterator[pa.RecordBatch]:
+        def met(t: list[np.ndarray], heads: list[np.ndarray], many: np.ndarray, done: int, end: int) -> Iterator[pa.RecordBatch]:
             """Meetings whose later row is in done..end."""
             for d in range(1, min(CROWD, len(t[0]))):
                 at = np.flatnonzero(t[0][d:end] == t[0][: max(0, end - d)])
-                at = at[(at + d >= done) & (~large[at + d] | (t[1][at] != t[1][at + d]))]
+                at = at[at + d >= done]
                 at = at[near(t, at, t, at + d)]
-                yield rows(np.zeros(len(at), dtype=np.int64), np.minimum(t[2][at], t[2][at + d]), np.maximum(t[2][at], t[2][at + d]))
-            on = np.flatnonzero(large[:end])
+                yield pairs(t[2][at], t[2][at + d])
+            on = np.flatnonzero(many[:end])
             on = on[on >= done]
-            yield rows(t[1][on], t[2][on], None)
             on = on[(heads[2][on] != t[2][on]) & near(t, on, heads, on)]
-            yield rows(np.zeros(len(on), dtype=np.int64), np.minimum(t[2][on], heads[2][on]), np.maximum(t[2][on], heads[2][on]))
+            yield pairs(t[2][on], heads[2][on])
 
         def crowds(t: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-            """The first row of every row's crowd, and whether the crowd is large."""
+            """The first row among those with every row's bucket and ``next``, and whether they are many."""
             begins = np.flatnonzero(np.append(True, (t[0][1:] != t[0][:-1]) | (t[1][1:] != t[1][:-1])))
             sizes = np.diff(np.append(begins, len(t[0])))
             heads = [x[np.repeat(begins, sizes)] for x in t]
@@ -336,16 +342,28 @@ def meetings(members: DataFrame) -> DataFrame:
             if not len(t[0]):
                 continue
             fresh = np.append(True, (t[0][1:] != t[0][:-1]) | (t[2][1:] != t[2][:-1]))
-            fresh[:seen] = True
+            before = len(held[0]) if held else 0
+            fresh[:before] = True
             t = [x[fresh] for x in t]
-            # Whether a row's crowd is large shows once ``CROWD`` + 1 rows of it are there: the last rows wait.
+            # All lines of a crowded bucket go on, the first of them once it shows that there are more than ``CROWD``.
+            u = [t[c][before:] for c in (0, 2, 3, 4)]
+            if waiting:
+                u = [np.concatenate(x) for x in zip(waiting, u)]
+            if len(u[0]):
+                begins = np.flatnonzero(np.append(True, u[0][1:] != u[0][:-1]))
+                sizes = np.diff(np.append(begins, len(u[0])))
+                crowded = (sizes > CROWD) | ((u[0][begins] == large) if large is not None else False)
+                on = np.repeat(crowded, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(u[1][on]), pa.nulls(int(on.sum()), pa.int64()), *(pa.array(u[c][on]) for c in (0, 2, 3))], names=names)
+                large, waiting = (int(u[0][-1]), None) if crowded[-1] else (None, [x[begins[-1] :] for x in u])
+            # Whether many rows share ``next`` shows once ``CROWD`` + 1 of them are there: the last rows wait.
             last = len(t[0]) - 1
             begin = int(np.searchsorted(t[0], t[0][last]))
             begin += int(np.searchsorted(t[1][begin:], t[1][last]))
             end = len(t[0]) if last - begin >= CROWD else begin
             end = max(end, seen)
-            heads, large = crowds(t)
-            yield from met(t, heads, large, seen, end)
+            heads, many = crowds(t)
+            yield from met(t, heads, many, seen, end)
             keep = max(0, end - CROWD - 1)
             head = [int(x[keep]) for x in heads]
             held, seen = [x[keep:] for x in t], end - keep
@@ -353,71 +371,177 @@ def meetings(members: DataFrame) -> DataFrame:
             yield from met(held, *crowds(held), seen, len(held[0]))
 
     ordered = members.select(*fields).repartition("bucket").sortWithinPartitions("bucket", "next", "id")
-    return cut(ordered.mapInArrow(run, "crowd long, a long, b long"))
+    return cut(ordered.mapInArrow(run, "a long, b long, bucket long, h1 long, h2 long"))
 
 
-def _chain(names: Column, place: Column, step: int) -> Column:
-    """The name of 2 ** ``step`` blocks in a row from ``place`` on, round the end; of all blocks where there are no more."""
-    if step == 0:
-        return F.element_at(names, place + 1)
-    if step == 1:
-        return F.xxhash64(F.lit(1), F.element_at(names, place + 1), F.element_at(names, (place + 1) % F.size(names) + 1))
-    some = F.slice(F.concat(names, names), place + 1, F.lit(1 << step))
-    return F.when(F.size(names) <= 1 << step, F.xxhash64(F.lit(step), names)).otherwise(F.xxhash64(F.lit(step), some))
-
-
-def _blocks(apart: DataFrame, step: int, wanted: Callable[[Column], Column]) -> DataFrame:
-    """(id, h1, h2, bucket, next) of the wanted places of lines (id, h1, h2, names, ...): runs of 2 ** ``step`` blocks, and of twice as many."""
-    names = F.col("names")
-    places = F.filter(F.sequence(F.lit(0), F.size(names) - 1), wanted)
-    runs = F.transform(places, lambda p: F.struct(_chain(names, p, step).alias("bucket"), _chain(names, p, step + 1).alias("next")))
-    return apart.select("id", "h1", "h2", F.inline(runs))
-
-
-def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """((a, b) of close lines that meet, (bucket, id, h1, h2) of crowds that agree in all blocks, (id) of all lines of crowds) of lines (id, layouts), repeats allowed."""
+def candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((a, b) of close lines that meet, (bucket, id, h1, h2) of the lines of crowded buckets) of lines (id, layouts), repeats allowed."""
     names = F.col("names")
-    layouts_of = lambda df, *more: df.select("id", *more, F.explode("layouts").alias("l")).select("id", *more, "l.h1", "l.h2", "l.names")
-    blocks = _blocks(layouts_of(lines), 0, lambda p: F.lit(True))
-    pairs, whole, members, step = None, None, None, 0
-    while True:
-        met = meetings(blocks)
-        found = met.where("b is not null").select("a", "b")
-        pairs = found if pairs is None else pairs.unionByName(found)
-        crowds = met.where("b is null").groupBy(F.col("a").alias("id")).agg(F.collect_set("crowd").alias("crowds"))  # a line's blocks at most
-        crowded = crowds.count()
-        if not crowded:
-            return pairs.distinct(), whole, members
-        if step == 0:
-            ids = members = cut(crowds.select("id"))
-            some = lines.join(F.broadcast(ids), "id", "left_semi") if crowded <= BROADCAST_IDS else lines.join(ids, "id", "left_semi")
-            lines = cut(some.dropDuplicates(["id"]))
-        size, held = 2 << step, layouts_of(lines.join(crowds, "id"), "crowds")
-        # Runs of ``size`` blocks are crowded: what has no more blocks than that agrees in all.
-        if held.where(F.size(names) <= size).limit(1).count():
-            ended = held.where(F.size(names) <= size).select("id", "h1", "h2", F.explode(F.array_intersect("crowds", F.transform(F.sequence(F.lit(0), F.size(names) - 1), lambda p: _chain(names, p, step + 1)))).alias("bucket"))
-            whole = cut(ended if whole is None else whole.unionByName(ended))
-        last = step + 1
-        in_crowd = lambda p: F.array_contains("crowds", _chain(names, p, last)) & ((F.size(names) > 2 * size) | (p == 0))
-        step += 2
-        blocks = _blocks(held.where(F.size(names) > size), step, in_crowd)
-
-
-def crowd_pairs(crowds: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b) of close lines of one crowd (bucket, id, h1, h2) that are in different components yet.
-
-    Crowds that the links have made one group are done. Others are dealt into pairs of small cells.
+    following = lambda p: F.xxhash64(F.element_at(names, p + 1), F.element_at(names, (p + 1) % F.size(names) + 1))
+    runs = F.transform(F.sequence(F.lit(0), F.size(names) - 1), lambda p: F.struct(F.element_at(names, p + 1).alias("bucket"), following(p).alias("next")))
+    layouts_of = lines.select("id", F.explode("layouts").alias("l")).select("id", "l.h1", "l.h2", "l.names")
+    met = meetings(layouts_of.select("id", "h1", "h2", F.inline(runs)))
+    return met.where("b is not null").select("a", "b").distinct(), met.where("b is null").select("bucket", F.col("a").alias("id"), "h1", "h2")
+
+
+def _close_rows(x: list[np.ndarray], y: list[np.ndarray], one: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tile by tile the rows of x and y (length, h1, h2; sorted by length) that are close; of ``one`` table each pair once."""
+    for lo in range(0, len(x[0]), TILE[0]):
+        hi = min(lo + TILE[0], len(x[0]))
+        first = int(np.searchsorted(y[0], x[0][lo] - 3))
+        last = int(np.searchsorted(y[0], x[0][hi - 1] + 3, side="right"))
+        for at in range(max(first, lo) if one else first, last, TILE[1]):
+            to = min(at + TILE[1], last)
+            bits = np.bitwise_count(x[1][lo:hi, None] ^ y[1][None, at:to])
+            bits += np.bitwise_count(x[2][lo:hi, None] ^ y[2][None, at:to])
+            i, j = np.divmod(np.flatnonzero(bits <= MAX_BITS), to - at)
+            i, j = i + lo, j + at
+            right = np.abs(x[0][i] - y[0][j]) <= 3
+            if one:
+                right &= i < j
+            yield i[right], j[right]
+
+
+def letter_pairs(texts: list[str]) -> np.ndarray:
+    """Per text how often pairs of neighbouring characters fall into each of ``PAIR_SLOTS`` slots, up to 255: an edit changes four counts by one at most."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    within = row[1:] == row[:-1]
+    slots = (mix64(points[:-1][within] * np.uint64(1 << 21) + points[1:][within]) % np.uint64(PAIR_SLOTS)).astype(np.int64)
+    counts = np.bincount(row[1:][within] * PAIR_SLOTS + slots, minlength=len(texts) * PAIR_SLOTS)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, PAIR_SLOTS)
+
+
+def cell_links(h1: np.ndarray, h2: np.ndarray, component: np.ndarray, texts: list[str | None], sides: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int, bool]]:
+    """(row, row, whether verified) of links between the rows of two sides, or of one, that are in different components.
+
+    Verified links that add nothing to those before them are left out. Rows whose text is not there
+    give close pairs, all of them and not verified.
     """
-    members = crowds.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).dropDuplicates(["bucket", "id"])
-    spread = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells")).where("lo < hi")
-    members = members.join(spread.select("bucket", "cells"), "bucket").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
-    members = cut(members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).withColumn("i", F.least("cell", "other")).withColumn("j", F.greatest("cell", "other")))
-    x, y = members.alias("x"), members.alias("y")
-    bits = F.bit_count(F.col("x.h1").bitwiseXOR(F.col("y.h1"))) + F.bit_count(F.shiftrightunsigned(F.col("x.h2").bitwiseXOR(F.col("y.h2")), 8))
-    lengths = F.abs(F.col("x.h2").bitwiseAND(F.lit(255)) - F.col("y.h2").bitwiseAND(F.lit(255))) <= 3
-    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    met = x.join(y, same & (F.col("x.component") < F.col("y.component")) & lengths & (bits <= MAX_BITS))
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    length = (h2 & np.uint64(255)).astype(np.int64)
+    root = np.unique(component, return_inverse=True)[1]
+    here = np.fromiter((t is not None for t in texts), bool, len(texts))
+    size = np.fromiter((len(t or "") for t in texts), np.int64, len(texts))
+    grams = letter_pairs([t or "" for t in texts])
+    sides = [rows[np.argsort(length[rows], kind="stable")] for rows in sides]
+    tables = [[length[r], h1[r], h2[r] & ~np.uint64(255)] for r in sides]
+    for i, j in _close_rows(tables[0], tables[-1], len(sides) == 1):
+        i, j = sides[0][i], sides[-1][j]
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        blind = ~(here[i] & here[j])
+        for x, y in zip(i[blind].tolist(), j[blind].tolist()):
+            yield x, y, False
+        i, j = i[~blind], j[~blind]
+        for lo in range(0, len(i), 4096):
+            x, y = i[lo : lo + 4096], j[lo : lo + 4096]
+            most = (np.maximum(size[x], size[y]) * (1 - similarity) + 1e-9).astype(np.int64)
+            u, v = grams[x], grams[y]
+            may = ((np.maximum(u, v) - np.minimum(u, v)).sum(axis=1, dtype=np.int64) <= 4 * most) & (np.abs(size[x] - size[y]) <= most)
+            for p, q, n in zip(x[may].tolist(), y[may].tolist(), most[may].tolist()):
+                if root[p] != root[q] and within_edits(texts[p], texts[q], n):
+                    root[root == root[p]] = root[q]
+                    yield p, q, True
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of the whole groups (bucket, lo, hi) of sorted batches, a group each."""
+    held: list[pa.Table] = []  # parts of the open group
+    name = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c).to_numpy() for c in ("bucket", "lo", "hi")]
+        begins = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+        table = pa.Table.from_batches([batch])
+        for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows]):
+            own = tuple(int(k[begin]) for k in keys)
+            if held and own != name:
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            name = own
+            held.append(table.slice(begin, end - begin))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _sides(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(id, h1, h2 and component of a group's rows, the rows of its cell or two cells)."""
+    ids, h1, h2, component, cell = (table.column(c).to_numpy() for c in ("id", "h1", "h2", "component", "cell"))
+    cells = sorted({table.column(c)[0].as_py() for c in ("lo", "hi")})
+    return [ids, h1.view(np.uint64), h2.view(np.uint64), component], [np.flatnonzero(cell == c) for c in cells]
+
+
+def _sparse_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The close pairs (a, b) of groups that have few of them, and the names (bucket, lo, hi) of the other groups."""
+    for table in _groups(batches):
+        (ids, h1, h2, component), sides = _sides(table)
+        length = (h2 & np.uint64(255)).astype(np.int64)
+        sides = [rows[np.argsort(length[rows], kind="stable")] for rows in sides]
+        tables = [[length[r], h1[r], h2[r] & ~np.uint64(255)] for r in sides]
+        a, b, count = [], [], 0
+        for i, j in _close_rows(tables[0], tables[-1], len(sides) == 1):
+            i, j = sides[0][i], sides[-1][j]
+            apart = component[i] != component[j]
+            i, j = ids[i[apart]], ids[j[apart]]
+            a.append(np.minimum(i, j))
+            b.append(np.maximum(i, j))
+            count += len(i)
+            if count > DENSE * len(ids):
+                break
+        if count > DENSE * len(ids):
+            none = pa.nulls(1, pa.int64())
+            name = [pa.array([table.column(c)[0].as_py()], t) for c, t in (("bucket", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()))]
+            yield pa.RecordBatch.from_arrays([none, none, *name], names=["a", "b", "bucket", "lo", "hi"])
+        elif count:
+            name = [pa.nulls(count, t) for t in (pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), *name], names=["a", "b", "bucket", "lo", "hi"])
+
+
+def crowd_links(crowds: DataFrame, labels: DataFrame, words_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(a, b, sure) of close lines of one crowd (bucket, id, h1, h2) that are in different components (id, component) yet.
+
+    Crowds that the links have made one group are done. A crowd beyond ``CELL`` lines is dealt into cells by
+    length, and by hash where too many have a length; every cell meets itself and those whose lengths are
+    near as a group of its own, so that any crowd passes in bounded memory and no pair is left out. Groups
+    with few close pairs list them. Where there are more than ``DENSE`` a line (a template, a group of near copies in
+    pieces) they are not listed: such a group gets its lines' texts and gives the links that join components, ``sure`` ones.
+    ``words_of`` gives (key, words) of ids; texts beyond ``LONG_TEXT`` bytes stay away, their pairs are not ``sure``.
+    """
+    members = crowds.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = rewritten(members.withColumn("band", F.floor(F.col("h2").bitwiseAND(F.lit(255)) / BAND).cast("int")))
+    spread = cut(members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n"))
+    columns = ["id", "h1", "h2", "component"]
+    whole = members.join(spread.where(F.col("n") <= CELL), "bucket").select("bucket", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("cell"), *columns)
+    # Crowds beyond a cell are few, with a row for each band: broadcast, so that no crowd is dealt by its name alone.
+    big = members.join(F.broadcast(spread.where(F.col("n") > CELL)), "bucket")
+    bands = cut(big.groupBy("bucket", "band").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells")))
+    own = big.join(F.broadcast(bands), ["bucket", "band"]).withColumn("cell", F.col("band") * MOST_CELLS + F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")).drop("cells")
+    beside = bands.select("bucket", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("near"), "cells")
+    met = own.join(F.broadcast(beside), ["bucket", "band"])
+    met = met.withColumn("other", F.explode(F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda c: F.col("near") * MOST_CELLS + c)))
+    dealt = whole.unionByName(met.select("bucket", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "cell", *columns))
+
+    group = ["bucket", "lo", "hi"]
+    listed = cut(dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_sparse_pairs, "a long, b long, bucket long, lo int, hi int"))
+    found = listed.where("a is not null").select("a", "b", F.lit(False).alias("sure")).distinct()
+    dense = listed.where("a is null").select(*group)
+    if not dense.limit(1).count():
+        return found
+    rest = cut(dealt.join(dense, group))
+    words = words_of(rest.select("id").distinct())
+    short = words.where(F.octet_length("words") <= LONG_TEXT).select(F.col("key").alias("id"), "words")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            (ids, h1, h2, component), sides = _sides(table)
+            rows = [(*sorted((int(ids[x]), int(ids[y]))), sure) for x, y, sure in cell_links(h1, h2, component, table.column("words").to_pylist(), sides, similarity)]
+            a, b, sure = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
+
+    ordered = rest.join(short, "id", "left").repartition(*group).sortWithinPartitions(*group)
+    return found.unionByName(cut(ordered.mapInArrow(links, "a long, b long, sure boolean")).distinct())
 
 
 def normalised_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -446,42 +570,19 @@ def similar_pairs(pairs: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stay = []
-            for i in range(batch.num_rows):  # row by row: lines may be long
-                x, y = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-                stay.append(within_edits(x, y, int(max(len(x), len(y)) * (1 - similarity) + 1e-9)))
+            sizes = [pc.fill_null(pc.utf8_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3)]
+            most = (np.maximum(*sizes) * (1 - similarity) + 1e-9).astype(np.int64)
+            may = np.abs(sizes[0] - sizes[1]) <= most
+            near = np.flatnonzero(may & (np.maximum(*sizes) <= LONG_TEXT))
+            u, v = (letter_pairs(batch.column(c).take(pa.array(near)).to_pylist()) for c in (2, 3))
+            may[near] = (np.maximum(u, v) - np.minimum(u, v)).sum(axis=1, dtype=np.int64) <= 4 * most[near]
+            for i, n in enumerate(most.tolist()):  # row by row: lines may be long
+                stay.append(bool(may[i]) and within_edits(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), n))
             yield batch.filter(pa.array(stay, pa.bool_())).select(["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def following_links(words: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of lines (key, words) with the edit similarity, among those that follow one another in order of their letters, from the front or the back.
-
-    The order runs over all lines at once, by ranges: no crowd is a group of its own.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, str]] = []
-        for batch in batches:
-            a, b = [], []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("words").to_pylist()):
-                for other, before in held:
-                    most = int(max(len(text), len(before)) * (1 - similarity) + 1e-9)
-                    if abs(len(text) - len(before)) <= most and within_edits(text, before, most):
-                        a.append(min(key, other))
-                        b.append(max(key, other))
-                held = [*held[1 - FOLLOWING :], (key, text)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    found = None
-    with batch_rows(words.sparkSession, DOCUMENT_ROWS):
-        for order in (F.col("words"), F.reverse("words")):
-            ordered = words.withColumn("order", order).repartitionByRange("order").sortWithinPartitions("order").select("key", "words")
-            links = cut(ordered.mapInArrow(run, "a long, b long"))
-            found = links if found is None else found.unionByName(links)
-    return found.distinct()
-
-
 def _numbered(df: DataFrame, id_col: str, text_col: str, row: str = "__row") -> tuple[DataFrame, DataFrame]:
     """(``df`` with its row number, (id, row, text) of its rows with an id): numbers are 0 unless ids repeat."""
     repeats = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
@@ -490,44 +591,49 @@ def _numbered(df: DataFrame, id_col: str, text_col: str, row: str = "__row") ->
     return rows, rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) of components that links (a, b) join further; ends without a component are one each."""
+    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    every = cut(ends.join(labels, "id", "full").withColumn("component", F.coalesce("component", "id")))
+    of = lambda c: every.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+    roots = connected_components(links.join(of("a"), "a").join(of("b"), "b"), "of_a", "of_b")
+    return cut(every.join(roots.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component")))
+
+
 def _marked(docs: DataFrame, similarity: float) -> DataFrame:
     """(id, row, line, first, kept) for every line with a word of (id, row, text); ``first``: struct of id, row and line."""
     with batch_rows(docs.sparkSession, DOCUMENT_ROWS):
         lines = rewritten(line_table(docs))
-    pairs, crowds, crowded = candidates(lines.where("layouts is not null").select(F.col("key").alias("id"), "layouts"))
+    pairs, crowds = candidates(lines.where("layouts is not null").select(F.col("key").alias("id"), "layouts"))
     pairs = cut(pairs)
-    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
-    if crowded is not None:
-        ends = ends.unionByName(crowded.select(F.col("id").alias("key")))
+    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).unionByName(crowds.select(F.col("id").alias("key")))
     # Most lines stand once and meet none: only the others' first occurrences are looked for.
     repeated = lines.groupBy("key").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("key")
     asked = cut(ends.unionByName(repeated).distinct())
     own = F.struct("id", "row", "line")
     distinct = cut(lines.select("id", "row", "line", "key").join(asked, "key").groupBy(F.col("key").alias("id")).agg(F.min(own).alias("first")))
 
+    def words_of(ids: DataFrame) -> DataFrame:
+        wanted = cut(distinct.join(ids, "id").select("first.*", F.col("id").alias("key")))
+        with batch_rows(docs.sparkSession, DOCUMENT_ROWS):
+            return cut(normalised_lines(docs, wanted))
+
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.select("a", "b"))
         if not pairs.limit(1).count():
             return pairs
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        wanted = cut(distinct.join(ids, "id").select("first.*", F.col("id").alias("key")))
-        with batch_rows(docs.sparkSession, DOCUMENT_ROWS):
-            words = cut(normalised_lines(docs, wanted))
+        words = words_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
         both = pairs.join(words.select(F.col("key").alias("a"), F.col("words").alias("x")), "a").join(words.select(F.col("key").alias("b"), F.col("words").alias("y")), "b")
         with batch_rows(docs.sparkSession, PAIR_ROWS):
             return cut(similar_pairs(both.select("a", "b", "x", "y"), similarity))
 
-    links = verify(pairs)
-    if crowded is not None:
-        wanted = cut(distinct.join(crowded, "id").select("first.*", F.col("id").alias("key")))
+    labels = connected_components(verify(pairs))
+    if crowds.limit(1).count():
         with batch_rows(docs.sparkSession, DOCUMENT_ROWS):
-            words = cut(normalised_lines(docs, wanted))
-        links = cut(links.unionByName(following_links(words, similarity)).distinct())
-    labels = connected_components(links)
-    if crowds is not None:
-        more = verify(crowd_pairs(crowds, labels))
+            met = crowd_links(crowds, labels, words_of, similarity)
+        more = met.where("sure").select("a", "b").unionByName(verify(met.where("not sure")))
         if more.limit(1).count():
-            labels = connected_components(links.unionByName(more))
+            labels = _joined(labels, more)
     heads = distinct.join(labels, "id", "left")
     groups = heads.where("component is not null").groupBy("component").agg(F.min("first").alias("group_first"))
     heads = heads.join(groups, "component", "left").select(F.col("id").alias("key"), F.coalesce("group_first", "first").alias("first"))

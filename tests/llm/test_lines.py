@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -195,3 +196,33 @@ def test_edits_against_the_table_of_distances():
         true = plain_distance(a, b)
         assert edit_distance(a, b) == true and characters_bound(a, b) <= true <= words_bound(a.split(" "), b.split(" "))
         assert all(within_edits(a, b, n) == (true <= n) for n in (true - 1, true, true + 1) if n >= 0)
+
+
+def test_crowd_partners_edited_at_both_ends(spark):
+    """All lines share 30 words; a pair differs in a letter of its first and of its last word, so that neither order of letters brings it together."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    template, rows = [word(6) for _ in range(30)], []
+    for i in range(80):
+        front, back = word(32), word(32)
+        rows.append((2 * i, " ".join([front, *template, back])))
+        rows.append((2 * i + 1, " ".join([chr(219 - ord(front[0])) + front[1:], *template, back[:-1] + chr(219 - ord(back[-1]))])))
+    found = {r["doc_id"]: r["first_id"] for r in mark_lines(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert sum(found[2 * i + 1] == 2 * i for i in range(80)) >= 78 and len(set(found.values())) >= 78
+
+
+def test_cells_leave_no_pair_out():
+    """Close lines of a crowd, found in tiles, against every pair."""
+    from sparkloom.llm.line_dedup import MAX_BITS, _close_rows
+
+    rng = np.random.default_rng(3)
+    size = np.sort(rng.integers(80, 100, 3000))
+    base = rng.integers(0, 1 << 63, (40, 2), dtype=np.uint64)[rng.integers(0, 40, 3000)]
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(8, 64, (3000, 2, 9), dtype=np.uint64), axis=2)
+    table = [size, base[:, 0] ^ flips[:, 0], (base[:, 1] ^ flips[:, 1]) & ~np.uint64(255)]
+    bits = sum(np.bitwise_count(h[:, None] ^ h[None, :]).astype(int) for h in table[1:3])
+    right = (bits <= MAX_BITS) & (np.abs(size[:, None] - size[None, :]) <= 3)
+    pairs = lambda *a: sorted((i, j) for x, y in _close_rows(*a) for i, j in zip(x.tolist(), y.tolist()))
+    assert pairs(table, table, True) == list(zip(*(x.tolist() for x in np.nonzero(np.triu(right, 1)))))
+    left, other = [x[::2] for x in table], [x[1::2] for x in table]
+    assert right[::2, 1::2].sum() > 1000 and pairs(left, other, False) == list(zip(*(x.tolist() for x in np.nonzero(right[::2, 1::2]))))
