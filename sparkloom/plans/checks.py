@@ -70,10 +70,11 @@ def derived_equations(t):
     a, b = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_quantity").cast("decimal(18,2)")
     wrong = (F.col("l_orderkey") + F.col("l_linenumber")) % 3 == 0
     c = a - b + F.when(wrong, F.lit("1.07").cast("decimal(18,2)")).otherwise(F.lit("0").cast("decimal(18,2)"))
-    x, y, z = (N.written_number(v) for v in (a, b, c))
-    said = F.concat(F.lit("A diferença: "), x, F.lit(" - "), y, F.lit(" = "), z)
-    found = validate.derived_results(said, F.array(N.plain_number(x), N.plain_number(y)))
-    return t("lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"), F.size(found).alias("holding"))
+    # In steps, so that a number is written once a row.
+    rows = t("lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"), *[N.written_number(v).alias(n) for v, n in ((a, "x"), (b, "y"), (c, "z"))])
+    said = F.concat(F.lit("A diferença: "), "x", F.lit(" - "), "y", F.lit(" = "), "z")
+    rows = rows.select("order_key", "line", said.alias("said"), F.array(N.plain_number(F.col("x")), N.plain_number(F.col("y"))).alias("known"))
+    return rows.select("order_key", "line", F.size(validate.derived_results(F.col("said"), F.col("known"))).alias("holding"))
 
 
 @book.add("""
