@@ -12,6 +12,8 @@ from .stats import running_sums
 K1, B, RRF_K = 1.5, 0.75, 60
 #: Rows of queries and of vectors that one comparison holds.
 QUERY_BLOCK, VECTOR_PART = 4096, 20_000
+#: Scores of a comparison that are held at once.
+SCORES = 1 << 20
 #: Documents that one bucket of a lexical search holds, and how many buckets there are at least.
 BUCKET, LEAST_BUCKETS = 4096, 16
 #: Terms of queries that are broadcast; more are joined by shuffle. What stands beside a document's terms for the document.
@@ -185,9 +187,10 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, label: bool = Fa
             ids, theirs = left["id"].to_numpy(), right["id"].to_numpy()
             order = np.argsort(theirs, kind="stable")
             theirs, y = theirs[order], y[order]
-            for lo in range(0, len(ids), 512):
-                score = np.round(x[lo : lo + 512] @ y.T, 6)
-                score[ids[lo : lo + 512, None] == theirs[None, :]] = -np.inf
+            rows = max(1, SCORES // len(theirs))
+            for lo in range(0, len(ids), rows):
+                score = np.round(x[lo : lo + rows] @ y.T, 6)
+                score[ids[lo : lo + rows, None] == theirs[None, :]] = -np.inf
                 top = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 kept = np.take_along_axis(score, top, axis=1)
                 at, place = np.nonzero(np.isfinite(kept))
