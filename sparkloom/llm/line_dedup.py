@@ -7,7 +7,8 @@ or more. Of every connected group the occurrence with the smallest (id, line num
 others go.
 
 Candidates: a line's features (its words; pairs of neighbouring bytes where it has few words) are
-dealt into shares by their hash, and every share has a SimHash block of 64 bits of its own. A word
+dealt into shares by their hash, and every share has a SimHash block of 64 bits of its own, in which a
+feature has one vote however often it stands there. A word
 replaced touches two blocks at most, so lines that differ in few words agree in whole blocks
 (pigeonhole), however long the edited word is. The number of shares follows the number of features:
 a power of two, about ``WORDS_A_BLOCK`` words each; lines near the step to the next power have both
@@ -145,9 +146,14 @@ def layouts(features: np.ndarray, line: np.ndarray, lines: np.ndarray, level: np
     """
     base = np.append(0, np.cumsum(np.left_shift(1, level)))
     at = np.searchsorted(lines, line)
+    # By line and feature, that is by share as well. A feature that repeats has one vote: else a frequent word outvotes
+    # all others of its share, and lines meet for that word alone.
+    bits = max(len(lines).bit_length(), 1)
+    order = np.argsort(at.astype(np.uint64) << np.uint64(64 - bits) | features >> np.uint64(bits))
+    at, features = at[order], features[order]
+    fresh = np.append(True, (at[1:] != at[:-1]) | (features[1:] != features[:-1]))
+    at, features = at[fresh], features[fresh]
     slot = base[at] + (features >> (64 - level[at]).astype(np.uint64)).astype(np.int64)
-    order = np.argsort(slot, kind="stable")
-    slot = slot[order]
     begins = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
     ends = np.append(begins[1:], len(slot))
     owner = np.searchsorted(base, slot[begins], side="right") - 1
@@ -158,7 +164,7 @@ def layouts(features: np.ndarray, line: np.ndarray, lines: np.ndarray, level: np
     # Only the features of these blocks have a vote, one run after the other.
     sizes = ends - begins
     starts = np.cumsum(sizes) - sizes
-    voters = mix64(features[order[np.repeat(begins - starts, sizes) + np.arange(sizes.sum())]] ^ _SALTS[0])
+    voters = mix64(features[np.repeat(begins - starts, sizes) + np.arange(sizes.sum())] ^ _SALTS[0])
     blocks = simhashes(voters, starts, starts + sizes)
     names = mix64(blocks ^ mix64(share + (level[owner].astype(np.uint64) << np.uint64(40)) + np.uint64(kind << 50)))
     return names, np.append(0, np.cumsum(np.bincount(owner, minlength=len(lines))))

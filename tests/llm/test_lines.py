@@ -226,3 +226,20 @@ def test_cells_leave_no_pair_out():
     assert pairs(table, table, True) == list(zip(*(x.tolist() for x in np.nonzero(np.triu(right, 1)))))
     left, other = [x[::2] for x in table], [x[1::2] for x in table]
     assert right[::2, 1::2].sum() > 1000 and pairs(left, other, False) == list(zip(*(x.tolist() for x in np.nonzero(right[::2, 1::2]))))
+
+
+def test_a_frequent_word_makes_no_crowd():
+    """Half of every line's words are one word: lines that share no other words share no block that many lines have."""
+    from sparkloom.llm.line_dedup import chunk_lines
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    lines = []
+    for _ in range(500):
+        w = ["the"] * 20 + [word() for _ in range(20)]
+        rng.shuffle(w)
+        lines.append(" ".join(w))
+    text = "\n".join(lines).encode()
+    found = chunk_lines(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))[4]
+    blocks = Counter(b for f in found for b in f[3].tolist())
+    assert sum(n for n in blocks.values() if n > CROWD) < 0.1 * sum(blocks.values())
