@@ -268,7 +268,7 @@ def verify_numbers(t):
     source = F.format_string("Em %d a exportação teve receita de %s reais.", F.when(F.col("k") % 7 == 0, 2019).otherwise(2021), "price")
     sources = o.where("k % 5 <> 0").select("answer_id", F.col("k").alias("source_id"), source.alias("text"))
     alone = o.groupBy("answer_id", "price").agg(F.count(F.lit(1)).alias("same")).where("same = 1").select("answer_id", F.col("price").alias("raw"))
-    found = validate.verify_numbers(answers, sources).join(alone, ["answer_id", "raw"], "left_semi")
+    found = validate.verify_numbers(answers, sources).join(alone.hint("merge"), ["answer_id", "raw"], "left_semi")
     return found.groupBy("answer_id", "raw").agg(F.count(F.lit(1)).alias("mentions"), F.count_if("verified").alias("verified"), F.bool_and("applicable").alias("applicable"))
 
 

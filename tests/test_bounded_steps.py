@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+import sparkloom.plans as plans
 from sparkloom.operators import rank, validate
 
 
@@ -26,3 +27,22 @@ def test_vector_scores_are_held_in_bounded_pieces(spark, monkeypatch):
     np.fill_diagonal(score, -np.inf)
     want = {(q, int(i)) for q in range(0, 300, 10) for i in np.argsort(-score[q], kind="stable")[:5]}
     assert {(r["query_id"], r["vec_id"]) for r in got} == want
+
+
+def test_numbers_are_never_broadcast(spark, small):
+    """Spark takes a small table for small, but the numbers of the texts made from it are not: none of them goes through the driver."""
+    found = plans.queries()["verify_numbers"](spark, small)
+    assert len(found.collect()) == 1500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 4 and "Broadcast" not in plan
+
+
+def test_equal_numbers_are_one_class(spark):
+    """Source numbers that differ only in their place are scored once; classes of one score are used up in the order of their numbers' places."""
+    told = [(1, i, f"A renda {'nova' if i % 2 else 'velha'} foi de 5.") for i in range(6)]
+    answers = spark.createDataFrame([(1, "A renda foi de 5. " * 8), (2, "A renda foi de 5. " * 3), (3, " ".join(f"A renda foi de {i},5." for i in range(10_000)))], "answer_id int, text string")
+    found = validate.verify_numbers(answers, spark.createDataFrame([*told, (2, 9, "A renda foi de 5. E a renda foi de 5,0.")], "answer_id int, source_id int, text string"))
+    rows = found.orderBy("answer_id", "start").collect()
+    assert [r["source_id"] for r in rows if r["answer_id"] == 1] == [0, 1, 2, 3, 4, 5, None, None]
+    assert [(r["source_id"], r["source_start"]) for r in rows if r["answer_id"] == 2] == [(9, 15), (None, None), (None, None)]
+    assert len(rows) == 10_011 and "dense_rank" in found._jdf.queryExecution().optimizedPlan().toString()
