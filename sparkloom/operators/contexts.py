@@ -57,22 +57,34 @@ def merged_metadata(told: Column, inferred: Column) -> Column:
     return F.coalesce(F.nullif(told, F.lit("")), inferred)
 
 
-def table_snippet(text: Column, at: Column) -> Column:
-    """The block between rules ('---' alone on a line) that holds offset ``at``, its lines trimmed, without blanks and source lines."""
+def snippet_blocks(text: Column) -> Column:
+    """(begin, end, snippet) of the blocks between rules ('---' alone on a line): their offsets, one ahead, and their lines trimmed, without blanks and source lines."""
     whole = F.concat(F.lit("\n"), text, F.lit("\n"))
     blocks = F.split(whole, r"\n[ \t]*---[ \t]*(?=\n)")
     rules = F.regexp_extract_all(whole, F.lit(r"\n[ \t]*---[ \t]*(?=\n)"), F.lit(0))
-    none = F.struct(F.lit(0).alias("begin"), F.lit(None).cast("string").alias("found"))
+    none = F.struct(F.lit(0).alias("begin"), F.array().cast("array<struct<begin:int,end:int,snippet:string>>").alias("found"))
     steps = F.arrays_zip(blocks.alias("b"), F.concat(rules, F.array(F.lit(""))).alias("r"))
 
-    def look(state: Column, x: Column) -> Column:
+    def shown(block: Column) -> Column:
+        lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(F.lower(x), F.lit("fonte:")))
+        return F.left(F.array_join(lines, "\n"), F.lit(SNIPPET))
+
+    def add(state: Column, x: Column) -> Column:
         end = state["begin"] + F.length(x["b"])
-        inside = (at + 1 >= state["begin"]) & (at + 1 < end)
-        return F.struct((end + F.length(x["r"])).alias("begin"), F.coalesce(state["found"], F.when(inside, x["b"])).alias("found"))
+        block = F.struct(state["begin"].alias("begin"), end.alias("end"), shown(x["b"]).alias("snippet"))
+        return F.struct((end + F.length(x["r"])).alias("begin"), F.concat(state["found"], F.array(block)).alias("found"))
+
+    return F.aggregate(steps, none, add)["found"]
+
 
-    block = F.aggregate(steps, none, look)["found"]
-    lines = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(F.lower(x), F.lit("fonte:")))
-    return F.left(F.array_join(lines, "\n"), F.lit(SNIPPET))
+def snippet_at(blocks: Column, at: Column) -> Column:
+    """The snippet of that of ``snippet_blocks`` which holds offset ``at``."""
+    return F.get(F.filter(blocks, lambda b: (at + 1 >= b["begin"]) & (at + 1 < b["end"])), 0)["snippet"]
+
+
+def table_snippet(text: Column, at: Column) -> Column:
+    """The block between rules that holds offset ``at``, as ``snippet_blocks`` shows it. Where a text has many offsets, find its blocks once."""
+    return snippet_at(snippet_blocks(text), at)
 
 
 def excerpt(text: Column) -> Column:

@@ -47,13 +47,14 @@ def sources(t: Tables) -> DataFrame:
     return told.select("answer_id", F.col("year").cast("long").alias("source_id"), F.concat(F.lit("Pedidos: "), "x").alias("text"), F.format_string("dir/pedidos_de-%d.pdf", "year").alias("file"), (F.col("year") % 10).cast("string").alias("page"), F.lit("table").alias("type"))
 
 
-def places(t: Tables, text: DataFrame, which: str = "true") -> DataFrame:
-    """(answer_id, key, start, end, raw, verified, derived, source_id, text) of the price of every order, or of those that ``which`` holds for."""
+def places(t: Tables, text: DataFrame) -> DataFrame:
+    """(answer_id, key, start, end, raw, verified, derived, source_id, text and what else the reports carry) of the price of every order."""
     row = F.concat(F.lit("| "), F.col("key").cast("string"), F.lit(" | "), F.col("year").cast("string"), F.lit(" | "))
-    placed = _orders(t).where(which).join(text, "answer_id").withColumn("at", F.expr("locate(concat('\n| ', key, ' | ', year, ' | '), text)") + F.length(row))
+    # By sort and merge: reports stand by answer already, and orders are never broadcast.
+    placed = _orders(t).hint("merge").join(text, "answer_id").withColumn("at", F.expr("locate(concat('\n| ', key, ' | ', year, ' | '), text)") + F.length(row))
     return placed.select(
         "answer_id", "key", F.col("at").cast("long").alias("start"), (F.col("at") + F.length("price")).cast("long").alias("end"), F.col("price").alias("raw"), (F.col("key") % 5 != 0).alias("verified"), (F.col("key") % 7 == 0).alias("derived"),
-        F.when(F.col("key") % 5 != 0, F.col("year").cast("long")).alias("source_id"), "text",
+        F.when(F.col("key") % 5 != 0, F.col("year").cast("long")).alias("source_id"), *[c for c in text.columns if c != "answer_id"],
     )
 
 

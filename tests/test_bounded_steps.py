@@ -46,3 +46,13 @@ def test_equal_numbers_are_one_class(spark):
     assert [r["source_id"] for r in rows if r["answer_id"] == 1] == [0, 1, 2, 3, 4, 5, None, None]
     assert [(r["source_id"], r["source_start"]) for r in rows if r["answer_id"] == 2] == [(9, 15), (None, None), (None, None)]
     assert len(rows) == 10_011 and "dense_rank" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_snippets_of_every_order(spark, small):
+    """Each order has its snippet; orders meet the reports by sort and merge, and a report's blocks are found before they do."""
+    found = plans.queries()["table_snippets"](spark, small)
+    orders = spark.read.parquet(f"{small}/orders.parquet")
+    assert len(found.collect()) == orders.count() and found.select("answer_id").distinct().count() == orders.select("o_custkey").distinct().count()
+    assert "%" not in plans.oracle_sql()["table_snippets"].split("where")[-1]
+    plan = found._jdf.queryExecution()
+    assert "SortMergeJoin" in plan.executedPlan().toString() and plan.optimizedPlan().toString().count("aggregate(") == 1
